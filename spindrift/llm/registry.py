@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 OPERATORS = {
     "op1_secret_scan": "secrets",
+    "op2_pii": "pii",
     "op3_chat_format": "chat",
     "op4_decontaminate": "decontam",
+    "op5_license_scan": "licenses",
     "op6_simhash_dedup": "simhash",
+    "op7_toxicity": "toxicity",
     "op8_quality": "quality",
+    "op9_jpeg_media": "media",
     "op10_sentencepiece": "pieces",
 }
 
