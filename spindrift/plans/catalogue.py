@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import extraction, relational, scalars, state
+from .base import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
+flagship = extraction.flagship
+MODULES = (extraction, relational, scalars, state)
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
