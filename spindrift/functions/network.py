@@ -62,4 +62,4 @@ def retry_after(value: Column, now: Column, cap: float = 300.0) -> Column:
     number = v.try_cast("double")
     date = F.try_to_timestamp(F.concat(F.regexp_extract(v, r"([0-9]{2} [A-Za-z]{3} [0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2})", 1), F.lit(" UTC")), F.lit("dd MMM yyyy HH:mm:ss z"))
     seconds = F.coalesce(number, F.unix_micros(date) / 1e6 - F.unix_micros(now) / 1e6)
-    return F.least(F.greatest(seconds, F.lit(0.0)), F.lit(cap))
+    return F.when(seconds.isNotNull(), F.least(F.greatest(seconds, F.lit(0.0)), F.lit(cap)))

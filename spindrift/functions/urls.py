@@ -24,6 +24,11 @@ def let(value: Column, make: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), make), 0)
 
 
+def _named(**parts: Column) -> Column:
+    """A struct whose names don't hang on aliases, which the optimizer drops where a Python UDF feeds it."""
+    return F.named_struct(*[x for name, c in parts.items() for x in (F.lit(name), c)])
+
+
 def trimmed(url: Column) -> Column:
     return F.regexp_replace(url, r"^[\s\x00-\x1f]+|[\s\x00-\x1f]+$", "")
 
@@ -49,15 +54,7 @@ def canonicalize(url: Column) -> Column:
 
     def parts(u: Column) -> Column:
         part = lambda i: F.regexp_extract(u, _PARTS, i)
-        return F.struct(
-            F.lower(part(1)).alias("scheme"),
-            part(2).alias("user"),
-            F.regexp_replace(F.lower(part(3)), r"\.+$", "").alias("host"),
-            part(4).alias("port"),
-            part(4).try_cast("int").alias("number"),
-            part(5).alias("path"),
-            part(6).alias("query"),
-        )
+        return _named(scheme=F.lower(part(1)), user=part(2), host=F.regexp_replace(F.lower(part(3)), r"\.+$", ""), port=part(4), number=part(4).try_cast("int"), path=part(5), query=part(6))
 
     def joined(p: Column) -> Column:
         number = p["number"]
@@ -182,8 +179,8 @@ class UrlPolicy:
             return out.when(x["foreign"], "origin")
 
         dns = F.lit(False) if dns_private is None else F.coalesce(dns_private, F.lit(True))
-        found = let(canonicalize(url), lambda c: F.struct(c.alias("c"), _host_of(c).alias("h")))
-        return let(F.struct(found["c"].alias("c"), found["h"].alias("h"), dns.alias("dns"), foreign.alias("foreign")), reason)
+        found = let(canonicalize(url), lambda c: _named(c=c, h=_host_of(c)))
+        return let(_named(c=found["c"], h=found["h"], dns=dns, foreign=foreign), reason)
 
 
 #: Blocks of IPv4 that aren't public: first address and number of fixed bits.
@@ -210,6 +207,6 @@ def is_private_host(h: Column) -> Column:
         octets = F.split(x, r"\.")
         total = sum((F.get(octets, i).try_cast("bigint") * (1 << (8 * (3 - i))) for i in range(4)), F.lit(0).cast("bigint"))
         v4 = x.rlike(r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.|$)){4}$") & ~x.endswith(".")
-        return F.struct(x.alias("h"), F.when(v4, total).alias("number"))
+        return _named(h=x, number=F.when(v4, total))
 
     return let(let(h, number), private)

@@ -10,6 +10,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import materialise
 from ..functions.urls import UrlPolicy, crawl_key, json_suffix, resolve
 from ..spec import Field, Spec
 from .extract import extract
@@ -46,7 +47,9 @@ def follow(records: DataFrame, index: DataFrame, spec: Spec, url: str = "url", p
     fail_parent_on_nested_error its parent gets error_category nested_error, else it is just missing. From max_depth on,
     lists are empty."""
     row = "__row"
-    base = records.withColumn(row, F.struct(F.col(f"`{url}`"), F.xxhash64(*[F.to_json(F.col(f"`{f.name}`")) if f.children else F.col(f"`{f.name}`") for f in spec.fields]))).withColumn("__path", F.array(crawl_key(F.col(f"`{url}`"))))
+    # Records are read several times below: the page pass that made them must not run as often. The row numbers are fixed
+    # by the checkpoint, so that repeated rows stay apart.
+    base = materialise(records.withColumn(row, F.monotonically_increasing_id()).withColumn("__path", F.array(crawl_key(F.col(f"`{url}`")))))
     out = _level(base, index, spec, spec.fields, F.col(f"`{url}`"), row, 0, policy or spec.policy)
     return out.drop(row, "__path")
 
@@ -64,13 +67,14 @@ def _level(rows: DataFrame, index: DataFrame, spec: Spec, fields: tuple[Field, .
         target = resolve(F.col("__at"), F.col("link"))
         if json_page and spec.append_json_suffix:
             target = json_suffix(target)
-        links = links.withColumn("child_url", target).where("child_url is not null")
+        # Written out before it is filtered: a filter that is pushed below would repeat the resolution at each of its uses.
+        links = materialise(links.withColumn("child_url", target)).where("child_url is not null")
         links = links.where(policy.reject_reason(F.col("child_url"), F.col("__at")).isNull() & ~F.array_contains("__path", F.col("child_url")))
         wanted = links.select(F.col("child_url").alias("key")).distinct()
         pages = index.join(wanted, "key", "left_semi")
         children = extract(pages, replace(spec, fields=f.nested_fields), ("key", "final_url"), "body")
         joined = links.join(children.withColumnRenamed("key", "child_url").withColumnRenamed("error_category", "__child_error"), "child_url", "left")
-        joined = joined.withColumn("__failed", F.col("final_url").isNull() | F.col("__child_error").isNotNull())
+        joined = materialise(joined.withColumn("__failed", F.col("final_url").isNull() | F.col("__child_error").isNotNull()))
         good = joined.where("not __failed").withColumn("__path", F.array_append("__path", F.col("child_url"))).withColumn("__parent_pos", F.struct("__parent", "pos"))
         if any(c.follow_url for c in f.nested_fields):
             good = good.withColumn("error_category", F.lit(None).cast("string"))

@@ -110,9 +110,9 @@ def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.run_stats(table(spark, sf_dir, "events").select(kind.alias("event_type"), F.when(t == "click", F.col("user_id")).otherwise(1).alias("count")))
 
 
-@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS 9 PRECEDING), 4) AS moving_avg FROM events")
+@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS 9 PRECEDING), 6) AS moving_avg FROM events")
 def moving_avg_10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.moving_average(table(spark, sf_dir, "events"), "value", "event_id", "user_id").select("event_id", F.round("moving_avg", 4).alias("moving_avg"))
+    return metrics.moving_average(table(spark, sf_dir, "events"), "value", "event_id", "user_id").select("event_id", F.round("moving_avg", 6).alias("moving_avg"))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
