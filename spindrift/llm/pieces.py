@@ -66,6 +66,8 @@ class ChunkTable(dict):
         self.arrays = None
 
     def segment(self, chunk: str) -> list[int]:
+        if chunk == MARK:  # a text's last space; without its mark it would be an empty text, which has no ids
+            return [self.sp.piece_to_id(MARK)]
         # Encoding adds a mark in front, so the chunk's own first one is left out.
         return self.sp.encode(chunk[1:].replace(MARK, " ") if chunk[:1] == MARK else chunk, num_threads=1)
 
