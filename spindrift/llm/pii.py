@@ -232,7 +232,7 @@ def training_texts(rng: np.random.Generator, n: int = 1200) -> list[tuple[str, l
             parts = [["+1", f"({d(3)})", f"{d(3)}-{d(4)}"], [f"({d(3)})", f"{d(3)}-{d(4)}"], [f"{d(3)}-{d(3)}-{d(4)}"], [f"+{d(2)}", d(2), d(4), d(4)], [f"+1-{d(3)}-{d(3)}-{d(4)}"], [f"+{d(2)}", d(3), d(7)]][f]
             return [(p, "B-PHONE" if i == 0 else "I-PHONE") for i, p in enumerate(parts)]
         if k == "ip":
-            return [(".".join(str(x) for x in rng.integers(0, 256, 4)), "B-IP")]
+            return [(".".join(str(x) for x in rng.integers(0, pick([256, 256, 20]), 4)), "B-IP")]
         if k == "card":
             c = card()
             if len(c) == 16 and rng.random() < 0.3:
