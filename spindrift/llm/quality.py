@@ -177,7 +177,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     """Statistics and labels of the documents to fit on. An id's label is the majority of its rows, ties counting as 1."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # bounded by fit_rows, so it can be sent
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").where(F.trim("text") != "").select("doc_id", "quality", statistics(F.col("text")).alias("s")).select("doc_id", "quality", "s.*").toPandas()
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id").where(F.col("text").rlike(r"\S")).select("doc_id", "quality", statistics(F.col("text")).alias("s")).select("doc_id", "quality", "s.*").toPandas()
     rows = rows.sort_values(["doc_id", *STATISTICS]).drop_duplicates()
     return rows[STATISTICS].to_numpy(float), rows.quality.to_numpy(int)
 
@@ -189,7 +189,7 @@ def quality_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
 def quality_column(model: RuleEnsemble, text: Column) -> Column:
     """The score of a text, a log odds; null where the text is null or blank."""
     t = text.cast("string")
-    return F.when(F.trim(t) != "", model.column(t))
+    return F.when(t.rlike(r"\S"), model.column(t))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
