@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 
 MARK = "[REDACTED]"
 _STORED = ["access_token", "api_key", "apikey", "client_secret", "password", "refresh_token"]
-_HEADERS = ["authorization", "cookie", "proxy-authorization", "x-access-token", "x-api-key", "x-auth-token"]
+_HEADERS = ["cookie", "authorization", *[f"x-{x}" for x in ("access-token", "api-key", "auth-token")], "proxy-authorization"]
 SECRET_NAMES = {*_STORED, *_HEADERS, "token"}
-SECRET_PARTS = ["api-key", "authorization", "credential", "password", "secret", "token"]
+SECRET_PARTS = ["token", "secret", "password", "credential", "authorization", "api-key"]
 
 #: In order: header lines, stored names with values, query parameters, user info of URLs. What goes is what follows the first group.
 _RULES = [
@@ -91,7 +91,8 @@ def record_key(df: DataFrame, columns: list[str]) -> Column:
 def config_digest(raw: Any) -> str:
     import hashlib
 
-    return hashlib.sha256(json.dumps(raw, sort_keys=True, default=str).encode()).hexdigest()
+    text = json.dumps(raw, default=str, sort_keys=True)
+    return hashlib.sha256(text.encode()).hexdigest()
 
 
 def flatten(df: DataFrame, between: str = "_") -> DataFrame:

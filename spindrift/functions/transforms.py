@@ -71,8 +71,9 @@ def normal(steps: Sequence[str | tuple[str, Sequence[str]]]) -> list[Step]:
 
 
 @lru_cache(maxsize=512)
-def compiled(pattern: str) -> re.Pattern[str]:
-    return re.compile(pattern)
+def compiled(source: str) -> re.Pattern:
+    """A pattern, compiled once a worker."""
+    return re.compile(source)
 
 
 _NOT_NUMBER, _DIGITS = re.compile(r"[^\d.\-]"), re.compile(r"\d+")
@@ -98,7 +99,8 @@ def apply_chain(value: Any, steps: Sequence[Step]) -> Any:
                 found = compiled(args[0]).search(str(value))
                 value = (found.group(1) if found.re.groups else found.group()) if found else None
             elif name == "replace" and len(args) > 1 and isinstance(value, str):
-                value = value.replace(args[0], args[1])
+                old, new = args[:2]
+                value = value.replace(old, new)
         except (ValueError, TypeError, OverflowError):
             continue
     return value

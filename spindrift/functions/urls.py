@@ -133,7 +133,7 @@ class UrlPolicy:
     block_private_networks: bool = True
 
     def _domains(self) -> tuple[list[str], list[str]]:
-        names = [d.strip().lower().rstrip(".") for d in self.allowed_domains if d and d.strip()]
+        names = [n for d in self.allowed_domains if (n := (d or "").lower().strip().rstrip("."))]
         return [d[1:] for d in names if d.startswith("*.")], [d for d in names if not d.startswith("*.")]
 
     def domain_allowed(self, h: Column, exact: Column | None = None, subdomains: Column | None = None) -> Column:

@@ -9,7 +9,7 @@ from ..functions.text import flatten
 from ..operators.extract import extract
 from ..operators.extract import preview as preview_of
 from ..operators.records import record_count, validate
-from ..spec import spec
+from ..spec import spec, take
 from .base import query, table
 from .run import run_spec, with_record_count
 
@@ -24,9 +24,9 @@ def plain(sql: str) -> str:
 _FLAG = spec(
     name="articles",
     fields=[
-        {"name": "title", "selector": "title", "transformers": ["strip"]},
-        {"name": "heading", "selectors": [".headline", "article h1"], "transformers": ["strip"]},
-        {"name": "links", "selector": "nav a", "attribute": "href", "is_list": True},
+        {**take("title", "title"), "transformers": ["strip"]},
+        {**take("heading"), "selectors": [".headline", "article h1"], "transformers": ["strip"]},
+        {"name": "links", "is_list": True, "attribute": "href", "selector": "nav a"},
     ],
     validation={"required_fields": ["title"], "min_records_per_page": 1},
     dedup={"mode": "url"},
@@ -48,7 +48,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT page_id, trim({plain("regexp_extract(html, '<title>(.*?)</title>', 1)")}) AS title FROM pages")
 def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spec(fields=[{"name": "title", "selector": "title", "transformers": ["strip"]}])
+    s = spec(fields=[{**take("title", "title"), "transformers": ["strip"]}])
     return extract(table(spark, sf_dir, "pages"), s, ("page_id",)).select("page_id", "title")
 
 
@@ -58,7 +58,7 @@ FROM (SELECT page_id, hrefs, unnest(range(1, len(hrefs) + 1)) AS i
       FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM pages))
 """)
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spec(fields=[{"name": "links", "selector": "a", "attribute": "href", "is_list": True}])
+    s = spec(fields=[{"name": "links", "is_list": True, "attribute": "href", "selector": "a"}])
     return extract(table(spark, sf_dir, "pages"), s, ("page_id",)).select("page_id", F.posexplode("links").alias("pos", "href"))
 
 
@@ -69,7 +69,7 @@ FROM (SELECT page_id, items, unnest(range(1, len(items) + 1)) AS i
       FROM (SELECT page_id, regexp_extract_all(html, '<li><a [^>]*>[^<]*</a></li>') AS items FROM pages))
 """)
 def html_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spec(fields=[{"name": "items", "selector": "nav ul > li", "is_list": True, "children": [{"name": "href", "selector": "a", "attribute": "href"}, {"name": "label", "selector": "a"}]}])
+    s = spec(fields=[{**take("items", "nav ul > li"), "is_list": True, "children": [{**take("href", "a"), "attribute": "href"}, take("label", "a")]}])
     rows = extract(table(spark, sf_dir, "pages"), s, ("page_id",))
     return flatten(rows.select("page_id", F.posexplode("items").alias("pos", "item"))).withColumnsRenamed({"item_href": "href", "item_label": "label"})
 
@@ -86,7 +86,7 @@ def html_regex_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT page_id, {plain("regexp_extract(html, '<h1>(.*?)</h1>', 1)")} AS heading, 'en' AS nothing FROM pages")
 def first_match_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spec(fields=[{"name": "heading", "selectors": ["h1.missing", {"type": "xpath", "value": "//main/h1"}, {"type": "json", "value": "a.b"}, "article > h1", "title"]}])
+    s = spec(fields=[{**take("heading"), "selectors": ["h1.missing", {"type": "xpath", "value": "//main/h1"}, {"type": "json", "value": "a.b"}, "article > h1", "title"]}])
     return extract(table(spark, sf_dir, "pages"), s, ("page_id",)).select("page_id", "heading", F.lit("en").alias("nothing"))
 
 
@@ -123,7 +123,7 @@ def json_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("lines"))
     rows = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.to_json(F.struct(F.struct("lines").alias("order"))).alias("body"))
     j = lambda v: {"type": "json", "value": v}
-    s = spec(response_type="json", fields=[{"name": "numbers", "selector": j("$.order.lines[*].l_linenumber"), "is_list": True, "type": "bigint"}, {"name": "parts", "selectors": [j("missing[*].x"), j("$..l_partkey")], "is_list": True, "type": "bigint"}])
+    s = spec(response_type="json", fields=[{"name": "numbers", "selector": j("$.order.lines[*].l_linenumber"), "is_list": True, "type": "bigint"}, {**take("parts"), "selectors": [j("missing[*].x"), j("$..l_partkey")], "is_list": True, "type": "bigint"}])
     return extract(rows, s, ("o_orderkey",), "body").select("o_orderkey", F.array_join(F.transform("numbers", lambda x: x.cast("string")), ",").alias("lines"), F.array_max("parts").alias("top_part"))
 
 
@@ -136,14 +136,14 @@ def record_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id FROM pages WHERE len(regexp_extract_all(html, '<p>')) >= 12")
 def validate_min_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spec(fields=[{"name": "paragraphs", "selector": "p", "is_list": True}])
+    s = spec(fields=[{**take("paragraphs", "p"), "is_list": True}])
     return validate(extract(table(spark, sf_dir, "pages"), s, ("page_id",)), ["paragraphs"], min_records=12).select("page_id")
 
 
 @query("SELECT page_id, CASE WHEN html LIKE '%&copy;%</footer>%' THEN NULL ELSE 'footer is missing' END AS warning FROM pages")
 def validate_required(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Soft: pages that lack the field stay, with a warning."""
-    s = spec(fields=[{"name": "footer", "selector": "footer"}])
+    s = spec(fields=[take("footer", "footer")])
     return validate(extract(table(spark, sf_dir, "pages"), s, ("page_id",)), ["footer"], ["footer"], hard=False).select("page_id", "warning")
 
 
@@ -151,7 +151,7 @@ def validate_required(spark: SparkSession, sf_dir: str) -> DataFrame:
 def failure_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of the bodies is blank: they become failures, not exceptions."""
     pages = table(spark, sf_dir, "pages").withColumn("html", F.when(F.col("page_id") % 3 != 0, F.col("html")))
-    rows = extract(pages, spec(fields=[{"name": "title", "selector": "title"}]), ("page_id",))
+    rows = extract(pages, spec(fields=[take("title", "title")]), ("page_id",))
     return rows.agg(F.count("*").alias("pages"), F.count_if(F.col("error_category") == "parse_error").alias("empty"), F.count_if(F.col("error_category") == "internal_error").alias("crashed"))
 
 

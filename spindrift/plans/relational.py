@@ -10,7 +10,7 @@ from ..functions.urls import UrlPolicy
 from ..operators import crawl, nested, records
 from ..sinks.files import batches, flat_rows
 from ..sources.pages import unnest
-from ..spec import spec
+from ..spec import spec, take
 from .base import query, table
 
 
@@ -46,7 +46,7 @@ WHERE n <= 5 GROUP BY c_custkey
 """)
 def follow_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages for customers that link to pages for their orders: extracted, followed and nested, five links at most."""
-    s = spec(fields=[{"name": "kids", "selector": "a", "attribute": "href", "is_list": True, "follow_url": True, "nested_fields": [{"name": "id", "selector": "h1", "transformers": ["to_int"]}]}], url_policy={"allow_external_urls": False}, max_nested_urls=5)
+    s = spec(fields=[{**take("kids", "a"), "is_list": True, "attribute": "href", "follow_url": True, "nested_fields": [{**take("id", "h1"), "transformers": ["to_int"]}]}], url_policy={"allow_external_urls": False}, max_nested_urls=5)
     url = lambda kind, c: F.concat(F.lit(f"http://shop.test/{kind}/"), c.cast("string"))
     orders = table(spark, sf_dir, "orders")
     links = orders.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: F.concat(F.lit('<a href="../order/'), k.cast("string"), F.lit('#x">o</a>'))), "").alias("links"))

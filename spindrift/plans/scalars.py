@@ -148,7 +148,7 @@ def sitemap_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     esc = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
     part = F.array_sort(F.collect_list(F.struct("page_id", esc.alias("u"))))
     docs = table(spark, sf_dir, "pages").groupBy((F.col("page_id") % 7).alias("m")).agg(part.alias("us"))
-    xml = F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.transform("us", lambda x: F.concat(F.lit("<url><loc> "), x["u"], F.lit("</loc></url>"))), ""), F.lit("</urlset>"))
+    xml = F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="urn:any">'), F.array_join(F.transform("us", lambda x: F.concat(F.lit("<url><loc> "), x["u"], F.lit("</loc></url>"))), ""), F.lit("</urlset>"))
     docs = docs.select(F.concat(F.lit("https://m.test/"), F.col("m").cast("string"), F.lit(".xml")).alias("url"), xml.alias("body"))
     return parse_sitemaps(docs).select("url", "place", "loc")
 

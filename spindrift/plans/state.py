@@ -132,7 +132,7 @@ def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BAD = {
-    "name": "bad", "mode": "list", "colour": 1, "min_delay": 5, "max_delay": 1, "concurrency": 0, "record_field": "none", "dedup": {"mode": "fields"},
+    "mode": "list", "name": "bad", "colour": 1, "min_delay": 5, "max_delay": 1, "concurrency": 0, "record_field": "none", "dedup": {"mode": "fields"},
     "fields": [{"name": "a", "selector": "div[", "transformers": ["shout"]}, {"name": "b", "selector": "a", "follow_url": True}],
 }
 

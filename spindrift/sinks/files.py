@@ -31,7 +31,7 @@ def write_json_array(df: DataFrame, path: str, indent: int = 2) -> int:
     part = out.with_suffix(out.suffix + ".tmp")
     part.parent.mkdir(parents=True, exist_ok=True)
     try:
-        with part.open("w", encoding="utf-8") as f:
+        with part.open(encoding="utf-8", mode="w") as f:
             f.write("[")
             for row in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
                 text = json.dumps(json.loads(row.j), ensure_ascii=False, indent=indent)

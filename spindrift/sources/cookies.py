@@ -13,7 +13,7 @@ from ..functions.urls import host, origin
 
 def load_cookies(spark: SparkSession, path: str | Path) -> DataFrame:
     """(name, value, url, domain) of a file that holds an object of names and values, or a list of objects."""
-    raw = json.loads(Path(path).read_text(encoding="utf-8"))
+    raw = json.loads(Path(path).read_bytes())
     if isinstance(raw, dict):
         rows = [(str(k), str(v), None, None) for k, v in raw.items()]
     else:

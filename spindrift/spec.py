@@ -28,7 +28,7 @@ TYPES = ("string", "bigint", "double", "boolean")
 class Issue:
     path: str
     message: str
-    severity: str = "error"
+    severity: str = field(default="error")
 
 
 @dataclass(frozen=True)
@@ -66,9 +66,11 @@ class Field:
 
 @dataclass(frozen=True)
 class Pagination:
+    """How a page leads to the next: by a link, or by a cursor that goes into a query parameter."""
+
     selector: Selector
-    max_pages: int = 5
     query_param: str = "after"
+    max_pages: int = 5
 
 
 @dataclass(frozen=True)
@@ -316,7 +318,7 @@ class _Reader:
         check = raw.get("validation") or {}
         auth = raw.get("authentication")
         if isinstance(auth, dict):
-            needed = {"bearer": ["client_secret"], "oauth_password": ["token_url", "client_id", "client_secret", "username", "password"]}.get(auth.get("type", "oauth_password"))
+            needed = {"bearer": ["client_secret"], "oauth_password": ["username", "password", "client_id", "client_secret", "token_url"]}.get(auth.get("type", "oauth_password"))
             if needed is None:
                 self.fault("authentication.type", "must be bearer or oauth_password")
             for n in needed or []:
@@ -329,7 +331,7 @@ class _Reader:
         if isinstance(raw.get("pagination"), dict):
             p = raw["pagination"]
             if s := self.selector(p.get("selector"), "pagination.selector"):
-                pages = Pagination(s, self.number(p, "max_pages", 5, 1, None, "pagination.", int), str(p.get("query_param", "after")))
+                pages = Pagination(s, str(p.get("query_param", "after")), self.number(p, "max_pages", 5, 1, None, "pagination.", int))
         return Spec(
             name=str(raw.get("name", "")),
             fields=found,
@@ -371,7 +373,7 @@ def expand_environment(text: str) -> str:
 
 def load_spec(path: str | Path) -> tuple[Spec | None, list[Issue]]:
     try:
-        raw = json.loads(expand_environment(Path(path).read_text(encoding="utf-8")))
+        raw = json.loads(expand_environment(Path(path).read_bytes().decode()))
     except FileNotFoundError:
         return None, [Issue("config", f"there is no file {path}")]
     except json.JSONDecodeError as e:
@@ -383,13 +385,18 @@ def load_spec(path: str | Path) -> tuple[Spec | None, list[Issue]]:
 
 def spec(**raw: Any) -> Spec:
     """A spec written in Python; raises ValueError with all issues where it has errors. Without a source, list mode is fine."""
-    raw = {"name": "inline", "mode": "list", "start_urls": ["http://localhost/"], **raw}
+    raw = {"name": "inline", "start_urls": ["http://localhost/"], "mode": "list", **raw}
     out, issues = parse_spec(raw)
     if out is None:
         raise ValueError("; ".join(f"{i.path}: {i.message}" for i in issues if i.severity == "error"))
     return out
 
 
+def take(name: str, *selectors: str | dict[str, str]) -> dict[str, Any]:
+    """A field as specs have it: its name, and selectors in order of preference."""
+    return {"name": name, "selectors": list(selectors)}
+
+
 def issues_frame(spark, issues: list[Issue]):
     return spark.createDataFrame([(i.path, i.message, i.severity) for i in issues], "path string, message string, severity string")
 

@@ -22,7 +22,7 @@ class TokenBucket:
 
     rate: float
     burst: float = 1.0
-    idle_ttl: float = 900.0
+    idle_ttl: float = 15 * 60.0
 
     def __post_init__(self) -> None:
         if self.rate <= 0 or self.burst <= 0 or self.idle_ttl < 0:

@@ -12,10 +12,10 @@ from spindrift.sources.cookies import in_scope
 from spindrift.sources.pages import read_batches
 from spindrift.sources.robots import filter_by_robots, rules_of
 from spindrift.sources.sitemap import discover, parse_sitemaps
-from spindrift.spec import parse_spec, spec
+from spindrift.spec import parse_spec, spec, take
 from spindrift.streaming.stateful import CircuitBreaker, TokenBucket, keep_up, replay
 
-PRODUCT = "<div class=product><h1>Gaming Laptop</h1><span class=price>$999.99</span><ul class=specs><li>a</li><li>b</li></ul></div><div class=product><h1>Mouse</h1><span class=price>$5</span></div>"
+PRODUCT = "".join(f"<div class=product><h1>{n}</h1><b class=price>${p}</b>{more}</div>" for n, p, more in (("Gaming Laptop", "999.99", "<ol><li>a<li>b</ol>"), ("Mouse", 5, "")))
 
 
 def pages(spark, *bodies):
@@ -25,11 +25,11 @@ def pages(spark, *bodies):
 def test_extract_html(spark):
     s = spec(
         fields=[
-            {"name": "title", "selector": "h1"},
-            {"name": "price", "selectors": [".none", {"type": "xpath", "value": "//span[@class='price']"}], "transformers": ["to_float"]},
-            {"name": "items", "selector": "div.product", "is_list": True, "children": [{"name": "name", "selector": "h1"}, {"name": "specs", "selector": "li", "is_list": True}, {"name": "sku", "selector": {"type": "regex", "value": "La(p)(top)"}}]},
-            {"name": "missing", "selector": ".nonexistent"},
-            {"name": "href", "selector": "h1", "attribute": " HREF "},
+            take("title", "h1"),
+            {**take("price"), "selectors": [".none", {"type": "xpath", "value": "//b[@class='price']"}], "transformers": ["to_float"]},
+            {**take("items", "div.product"), "is_list": True, "children": [take("name", "h1"), {**take("specs", "li"), "is_list": True}, {"name": "sku", "selector": {"type": "regex", "value": "La(p)(top)"}}]},
+            take("missing", ".nonexistent"),
+            {**take("href", "h1"), "attribute": " HREF "},
         ]
     )
     r = extract(pages(spark, PRODUCT), s).first()
@@ -39,21 +39,21 @@ def test_extract_html(spark):
 
 def test_extract_json(spark):
     j = lambda v: {"type": "json", "value": v}
-    s = spec(response_type="json", fields=[{"name": "t", "selectors": [j("v1.title"), j("v2.name")]}, {"name": "vs", "selector": j("$.items[*].v"), "is_list": True, "type": "bigint"}, {"name": "after", "selector": j("data.after")}, {"name": "big", "selector": j("big"), "type": "bigint"}])
+    s = spec(response_type="json", fields=[{**take("t"), "selectors": [j("v1.title"), j("v2.name")]}, {"name": "vs", "selector": j("$.items[*].v"), "is_list": True, "type": "bigint"}, {"name": "after", "selector": j("data.after")}, {"name": "big", "selector": j("big"), "type": "bigint"}])
     rows = {r.url[-1]: r for r in extract(pages(spark, '{"v2":{"name":"World"},"items":[{"v":1}],"data":{"after":null},"big":99999999999999999999}', "{not-json", None, ""), s).collect()}
     assert (rows["0"].t, rows["0"].vs, rows["0"].after, rows["0"].big) == ("World", [1], None, None)
     assert [rows[k].error_category for k in "123"] == ["parse_error"] * 3
 
 
 def test_empty_table_and_clashing_names(spark):
-    s = spec(fields=[{"name": "title", "selector": "title"}])
+    s = spec(fields=[take("title", "title")])
     assert extract(pages(spark, "x").limit(0), s).count() == 0
     odd = pages(spark, "<title>t</title>").withColumn("error_category", F.lit(1)).withColumn("__body", F.lit(2)).withColumn("a.b", F.lit(3))
     assert extract(odd, s).first().title == "t"
 
 
 def test_follow(spark):
-    s = spec(fields=[{"name": "kids", "selector": "a", "attribute": "href", "is_list": True, "follow_url": True, "nested_fields": [{"name": "t", "selector": "h1"}, {"name": "more", "selector": "a", "attribute": "href", "is_list": True, "follow_url": True, "nested_fields": [{"name": "t", "selector": "h1"}]}]}], fail_parent_on_nested_error=False)
+    s = spec(fields=[{**take("kids", "a"), "is_list": True, "attribute": "href", "follow_url": True, "nested_fields": [take("t", "h1"), {"name": "more", "is_list": True, "attribute": "href", "selector": "a", "follow_url": True, "nested_fields": [take("t", "h1")]}]}], fail_parent_on_nested_error=False)
     p = spark.createDataFrame([("http://s.test/a", "<h1>A</h1><a href=b>b</a><a href=/c>c</a><a href=/gone>g</a>"), ("http://s.test/b", "<h1>B</h1><a href=a>back</a><a href=c>c</a>"), ("http://s.test/c", "<h1>C</h1>")], "url string, html string")
     twice = p.where("url like '%/a'").union(p.where("url like '%/a'"))
     got = nested.follow(extract(twice, s), nested.page_index(p), s).collect()
@@ -96,8 +96,9 @@ def test_percentiles(spark):
 
 
 def test_sitemaps(spark):
-    ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
-    docs = spark.createDataFrame([("https://e.test/i.xml", f"<sitemapindex {ns}><sitemap><loc>/one.xml</loc></sitemap></sitemapindex>"), ("https://e.test/one.xml", f"<urlset {ns}><url><loc>/a</loc></url><url><loc>/b</loc></url></urlset>"), ("https://e.test/bad.xml", "<urlset>")], "url string, body string")
+    locs = lambda outer, inner, *paths: f"<{outer} xmlns='urn:any'>" + "".join(f"<{inner}><loc>{p}</loc></{inner}>" for p in paths) + f"</{outer}>"
+    rows = {"i": locs("sitemapindex", "sitemap", "/one.xml"), "one": locs("urlset", "url", "/a", "/b"), "bad": "<urlset>"}
+    docs = spark.createDataFrame([(f"https://e.test/{k}.xml", v) for k, v in rows.items()], "url string, body string")
     assert discover(["https://e.test/i.xml"], docs) == ["https://e.test/a", "https://e.test/b"]
     assert discover(["https://e.test/i.xml"], docs, max_urls=1) == ["https://e.test/a"]
     assert discover(["https://e.test/i.xml"], docs, max_bytes=10) == []
@@ -156,7 +157,7 @@ def test_spec_collects_all_issues():
 
 
 def test_run_and_cli(spark, tmp_path, capsys):
-    s = {"name": "r", "mode": "list", "start_urls": ["http://s.test/"], "fields": [{"name": "title", "selector": "title"}], "validation": {"required_fields": ["title"]}}
+    s = {"name": "r", "start_urls": ["http://s.test/"], "mode": "list", "fields": [take("title", "title")], "validation": {"required_fields": ["title"]}}
     p = pages(spark, "<title>a</title>", "<p>no title</p>", "", "<title>a</title>")
     outcome = run_spec(parse_spec(s)[0], p)
     assert outcome.records.count() == 1 and {r.category for r in outcome.failures.collect()} == {"validation_error", "parse_error"}
