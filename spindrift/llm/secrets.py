@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, read_table, texts, tune_arrow
+from .common import WORD, materialise, read_table, texts, tune_arrow
 
 #: Bytes of the primed dictionary, and words that a task counts before it passes the counts on.
 DICTIONARY_BYTES = 64_000
@@ -76,7 +76,16 @@ def corpus_identifiers(docs: DataFrame) -> DataFrame:
 
 def primed_dictionary(docs: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
     """The identifiers that save the most bytes, as many as fit, the best last, where references are shortest."""
-    best = corpus_identifiers(docs).where("n > 1").orderBy((F.col("n") * (F.length("word") - 3)).desc(), "word").limit(size // 5).collect()
+    counts = materialise(corpus_identifiers(docs).where("n > 1")).withColumn("gain", F.col("n") * (F.length("word") - 3))
+    # Only words above the level at which the dictionary is full are sorted and sent: a few times its size, however many
+    # partitions there are.
+    level = F.floor(F.log2("gain") * 4)
+    cut, full = 0, 0
+    for r in counts.groupBy(level.alias("level")).agg(F.sum(F.octet_length("word") + 1).alias("bytes")).orderBy(F.desc("level")).collect():
+        cut, full = r.level, full + r.bytes
+        if full > size:
+            break
+    best = counts.where(level >= cut).orderBy(F.col("gain").desc(), "word").limit(size // 5).collect()
     kept, used = [], 0
     for r in best:
         used += len(r.word.encode()) + 1
