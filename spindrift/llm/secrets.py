@@ -11,6 +11,7 @@ no part of a key that is repeated in many copies gets into the dictionary; nor d
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,13 +27,18 @@ from .common import WORD, materialise, read_table, texts, tune_arrow
 DICTIONARY_BYTES = 64_000
 COUNTED_WORDS = 400_000
 BEFORE, AFTER = 160, 80
-#: Marginal bytes that a secret has at least, in all and for each of its characters.
-MIN_BYTES, MIN_SHARE = 9, 0.75
+#: Marginal bytes that a secret has at least, in all and as a share of what random characters of its alphabet hold.
+MIN_BYTES, MIN_SHARE = 9, 0.9
+NAME_SHARE, FEW_DIGITS = 0.75, 0.1
 MASK = "[SECRET]"
 
 IDENTIFIER = re.compile(r"[^\W\d]{4,24}")
 _NAMES = ["token", "secret", "passw", "pwd", "api_key", "apikey", "api-key", "access_key", "accesskey", "auth", "credential", "bearer", "private_key", "client_key", "private key-----"]
 _PREFIXES = ["AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk-", "sk_live_", "sk_test_", "xox", "AIza", "eyJ", "npm_", "hf_"]
+_PREFIX = re.compile("|".join(map(re.escape, _PREFIXES)))
+#: Breaks within keys and what joins their parts; and small alphabets by their sizes.
+_NO_KEY = re.compile(r"\\[rn]|[\s_.=\-]")
+_ALPHABETS = [(10, re.compile(r"\d+")), (16, re.compile(r"[\da-f]+|[\dA-F]+")), (32, re.compile(r"[A-Z2-7]+")), (36, re.compile(r"[a-z\d]+|[A-Z\d]+"))]
 _KEY = r"[A-Za-z0-9+/_\-]"
 CANDIDATE = re.compile(
     rf"""(?:
@@ -96,6 +102,17 @@ def primed_dictionary(docs: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
     return (" ".join(reversed(kept)) + " " + names).encode()
 
 
+def least_bytes(candidate: str) -> float:
+    """MIN_SHARE of the bytes of as many random characters of the candidate's alphabet, or NAME_SHARE of a byte for each
+    character of what may be a name: one of letters with few digits. Long literals are coded by their frequencies, so hex
+    tends to half a byte a character, and decimals to less."""
+    core = _NO_KEY.sub("", _PREFIX.sub("", candidate))
+    if sum(map(str.isdigit, core)) < FEW_DIGITS * len(core):
+        return NAME_SHARE * len(candidate)
+    size = next((n for n, alphabet in _ALPHABETS if alphabet.fullmatch(core)), 64)
+    return min(NAME_SHARE * len(candidate), MIN_SHARE * len(core) * math.log2(size) / 8)
+
+
 class Novelty:
     """Marginal compressed bytes, against a dictionary of identifiers and the surroundings."""
 
@@ -123,7 +140,7 @@ class Novelty:
                 left, right = left.replace(cand, ""), right.replace(cand, "")
             context = right[:AFTER] + " " + left[-BEFORE:]
             n = self.marginal(context, cand)
-            if n >= MIN_BYTES and n >= MIN_SHARE * len(cand):
+            if n >= MIN_BYTES and n >= least_bytes(cand):
                 out.append((s, e, cand, n))
         return out
 

@@ -137,6 +137,16 @@ def test_secrets(spark):
     assert all(len(r.text) == r.n_chars for r in clean.values())
 
 
+@pytest.mark.parametrize("alphabet", ["0123456789abcdef", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789"])
+def test_keys_of_small_alphabets(alphabet):
+    rng = np.random.default_rng(11)
+    novelty = secrets.Novelty(b"configuration token password river stone value")
+    for n in (32, 64, 96, 128, 200, 400, 800):
+        keys = ["".join(rng.choice(list(alphabet), n)) for _ in range(20)]
+        assert [[h[2] for h in novelty.scan(f"token = {k} in the file")] for k in keys] == [[k] for k in keys]
+    assert novelty.scan("token = configuration-token-password-river-stone-value and the rest") == []
+
+
 def test_pii_held_out(spark):
     """Texts made with another seed than those the model is trained on."""
     model, right, found, known = pii.pii_model(), 0, 0, 0
