@@ -34,6 +34,8 @@ MASK = "[SECRET]"
 
 IDENTIFIER = re.compile(r"[^\W\d]{4,24}")
 _NAMES = ["token", "secret", "passw", "pwd", "api_key", "apikey", "api-key", "access_key", "accesskey", "auth", "credential", "bearer", "private_key", "client_key", "private key-----"]
+#: Of each alternative of CANDIDATE's names, the part that all its spellings share.
+_STEMS = ["token", "secret", "passw", "pwd", "apikey", "api_key", "api-key", "access", "auth", "credential", "bearer", "private", "client"]
 _PREFIXES = ["AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk-", "sk_live_", "sk_test_", "xox", "AIza", "eyJ", "npm_", "hf_"]
 _PREFIX = re.compile("|".join(map(re.escape, _PREFIXES)))
 #: Breaks within keys and what joins their parts; and small alphabets by their sizes.
@@ -52,9 +54,11 @@ CANDIDATE = re.compile(
 
 
 def may_hold(text: str) -> bool:
-    """Whether any candidate is possible at all; quick."""
+    """Whether any candidate is possible at all; quick. Every match of CANDIDATE holds one of the stems or prefixes."""
     low = text.lower()
-    return any(n in low for n in _NAMES) or any(p in text for p in _PREFIXES)
+    if not low.isascii():  # letters that patterns without case take for ASCII ones
+        low = low.replace("ſ", "s").replace("ı", "i").replace("i̇", "i")
+    return any(n in low for n in _STEMS) or any(p in text for p in _PREFIXES)
 
 
 def corpus_identifiers(docs: DataFrame) -> DataFrame:

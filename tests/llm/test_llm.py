@@ -147,6 +147,15 @@ def test_keys_of_small_alphabets(alphabet):
     assert novelty.scan("token = configuration-token-password-river-stone-value and the rest") == []
 
 
+def test_filter_passes_every_candidate():
+    key = "tG7xQ9zLm2Vb8RkY4cWp"
+    stems = ["token", "secret", "password", "passwd", "passwrd", "pwd", "auth", "authorization", "credential", "credentials", *(f"{x}{y}key" for x in ("api", "access", "private", "client") for y in ("", "_", "-"))]
+    names = [f"{n} = " for x in stems for n in (x, x.upper(), x.title(), f"my_{x}_2", x.replace("s", "ſ"), x.replace("i", "ı"), x.replace("i", "İ"))]
+    names += ["Bearer ", "PRIVATE KEY-----", *(p if p != "xox" else "xoxb-" for p in secrets._PREFIXES)]
+    matched = [n for n in names if secrets.CANDIDATE.search(n + key)]
+    assert len(matched) > 0.8 * len(names) and [n for n in matched if not secrets.may_hold(n + key)] == []
+
+
 def test_pii_held_out(spark):
     """Texts made with another seed than those the model is trained on."""
     model, right, found, known = pii.pii_model(), 0, 0, 0
