@@ -1,7 +1,7 @@
 """Secrets in texts, by novelty against what surrounds them.
 
-A candidate is a long run of key characters in a sensitive context: assigned to a name such as token or password, after
-a private key's header, or with a known prefix of its own. Its novelty is its marginal size: the bytes that zstandard
+A candidate is a long run of key characters in a sensitive context: assigned to a name such as token or password, or with
+a known prefix of its own; or all lines of a private key, from its header to its end. Its novelty is its marginal size: the bytes that zstandard
 needs for context and candidate, less those for the context alone, with a dictionary primed with the corpus's identifiers
 and words. A word or a name that the corpus or the surroundings know compresses to little; a key doesn't, and is reported.
 
@@ -42,9 +42,15 @@ _PREFIX = re.compile("|".join(map(re.escape, _PREFIXES)))
 _NO_KEY = re.compile(r"\\[rn]|[\s_.=\-]")
 _ALPHABETS = [(10, re.compile(r"\d+")), (16, re.compile(r"[\da-f]+|[\dA-F]+")), (32, re.compile(r"[A-Z2-7]+")), (36, re.compile(r"[a-z\d]+|[A-Z\d]+"))]
 _KEY = r"[A-Za-z0-9+/_\-]"
+_BREAKS = re.compile(r"\\[rn]|\s+")
+_BREAK, _BLOCK = r"(?:\s|\\[rn])", "[A-Za-z0-9+/]"
 CANDIDATE = re.compile(
     rf"""(?:
-        (?i:[\w\-]{{0,40}}(?:token|secret|passw(?:or)?d|passwd|pwd|api[_\-]?key|access[_\-]?key|auth(?:orization)?|credentials?|private[_\-]?key|client[_\-]?key)[\w\-]{{0,20}}["']?\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}(?:bearer\s{{1,3}})?["']?
+        (?i:private\ key(?:\ block)?-----){_BREAK}*+
+        (?:[A-Za-z][A-Za-z\-]*+:(?:(?!\\[rn])[^\n])*+{_BREAK}++)*
+        (?P<p>{_BLOCK}(?:[A-Za-z0-9+/=\s]|\\[rn])*?(?={_BREAK}*+-----\ ?END)
+            | {_BLOCK}{{12,}}={{0,2}}(?:{_BREAK}{{1,4}}{_BLOCK}{{16,}}={{0,2}})*(?:{_BREAK}{{1,4}}{_BLOCK}{{1,15}}={{1,2}})?)
+      | (?i:[\w\-]{{0,40}}(?:token|secret|passw(?:or)?d|passwd|pwd|api[_\-]?key|access[_\-]?key|auth(?:orization)?|credentials?|private[_\-]?key|client[_\-]?key)[\w\-]{{0,20}}["']?\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}(?:bearer\s{{1,3}})?["']?
          | \bbearer\s{{1,3}} | private\ key-----\s{{0,4}})
         (?P<a>{_KEY}{{12,}}(?:\.{_KEY}{{8,}})*={{0,2}})
       | (?<![A-Za-z0-9_])(?P<b>(?:AKIA|ASIA|gh[pos]_|github_pat_|glpat-|sk-|sk_live_|sk_test_|xox[abprs]-|AIza|eyJ|npm_|hf_){_KEY}{{12,}}(?:\.{_KEY}{{8,}})*={{0,2}})
@@ -136,14 +142,14 @@ class Novelty:
             return []
         out = []
         for m in CANDIDATE.finditer(text):
-            which = "a" if m.group("a") else "b"
+            which = m.lastgroup
             s, e = m.span(which)
             cand = m.group(which)
             left, right = text[:s], text[e:]
             if text.count(cand) > 1:
                 left, right = left.replace(cand, ""), right.replace(cand, "")
             context = right[:AFTER] + " " + left[-BEFORE:]
-            n = self.marginal(context, cand)
+            n = self.marginal(context, cand if which != "p" else _BREAKS.sub("", cand))
             if n >= MIN_BYTES and n >= least_bytes(cand):
                 out.append((s, e, cand, n))
         return out
