@@ -3,7 +3,7 @@
 Tokens that hold a digit or an @ are nodes, with a label each: outside, or the beginning or inside of an e-mail address,
 phone number, IP address, card number, social security number or IBAN. Every other token is outside by definition, which
 cuts the chain there. Neighbours in the text share a transition potential; and distant tokens that repeat each other, or
-differ in separators only, share a skip potential, which favours equal labels. Loopy belief propagation, for all nodes of a
+differ in separators only, share a skip potential, which favours equal labels: all copies by way of one node. Loopy belief propagation, for all nodes of a
 batch at once, passes messages along both until labels agree across each document: a bare number is told by its
 copy that stands in a telling context.
 
@@ -26,8 +26,9 @@ from .common import read_table, texts, tune_arrow
 
 LABELS = ["O", "B-EMAIL", "B-PHONE", "I-PHONE", "B-IP", "B-CARD", "I-CARD", "B-SSN", "B-IBAN", "I-IBAN"]
 N = len(LABELS)
-#: Rounds of message passing, and the share of a message that is new.
-ROUNDS, DAMPING = 12, 0.7
+#: The share of a message that is new; messages are passed until none changes by more than TOLERANCE. ROUNDS only ends
+#: those that swing for ever.
+DAMPING, TOLERANCE, ROUNDS = 0.7, 1e-3, 2000
 #: Characters of a normal form from which on equal tokens are linked.
 LINKED_CHARS = 4
 SEED = 65_537
@@ -118,14 +119,14 @@ class Graph:
         self.places: list[tuple[int, int, int]] = []
         self.features: list[list[str]] = []
         self.chain: list[int] = []
-        self.skip: list[tuple[int, int]] = []
+        self.copies: list[list[int]] = []
 
     def add(self, which: int, text: str) -> None:
         spans = nodes_of(text)
         first = len(self.places)
         shapes = [_shape(text[s:e]) for s, e in spans]
         joined = [e2 - e1 <= 3 and not re.search(r"\w", text[e1:e2]) and "\n" not in text[e1:e2] for (_, e1), (e2, _) in zip(spans, spans[1:])]
-        last: dict[str, int] = {}
+        alike: dict[str, list[int]] = {}
         for i, (s, e) in enumerate(spans):
             token = text[s:e]
             word = _LAST_WORD.search(text[max(0, s - 40) : s])
@@ -137,14 +138,16 @@ class Graph:
                 self.chain.append(first + i - 1)
             plain = _PLAIN.sub("", token.lower())
             if len(plain) >= LINKED_CHARS:
-                if plain in last:
-                    self.skip.append((last[plain], first + i))
-                last[plain] = first + i
+                alike.setdefault(plain, []).append(first + i)
+        self.copies += [c for c in alike.values() if len(c) > 1]
 
 
 class SkipChainModel:
     def __init__(self, index: dict[str, int], node: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> None:
         self.index, self.node, self.chain, self.skip = index, node, chain, skip
+        # Such that two links by way of a shared node are as strong as one link between two copies.
+        s = np.exp(max(skip[0, 0], 0.0))
+        self.hub = np.log(s + np.sqrt(s * s + s * (N - 2) - (N - 1))) * np.eye(N)
 
     def unary(self, features: list[list[str]]) -> np.ndarray:
         out = np.zeros((len(features), N))
@@ -162,15 +165,20 @@ class SkipChainModel:
     def label(self, g: Graph) -> np.ndarray:
         """The likeliest label of each node, by loopy belief propagation."""
         unary = self.unary(g.features)
-        left = np.array([*g.chain, *[a for a, _ in g.skip]], np.int64)
-        right = np.array([*[i + 1 for i in g.chain], *[b for _, b in g.skip]], np.int64)
+        # Two copies share a link. More share a node of their own, which each is linked to: two steps between any two.
+        skip = [(c[0], c[1]) for c in g.copies if len(c) == 2]
+        more = [c for c in g.copies if len(c) > 2]
+        hubs = [(i, len(unary) + k) for k, c in enumerate(more) for i in c]
+        left = np.array([*g.chain, *[a for a, _ in skip + hubs]], np.int64)
+        right = np.array([*[i + 1 for i in g.chain], *[b for _, b in skip + hubs]], np.int64)
         opens = np.ones(len(unary), bool)
         opens[np.array(g.chain, np.int64) + 1] = False
         for k in (3, 6, 9):
             unary[opens, k] -= 20
         if not len(left):
             return unary.argmax(axis=1)
-        pot = np.concatenate([np.broadcast_to(self.chain, (len(g.chain), N, N)), np.broadcast_to(self.skip, (len(g.skip), N, N))])
+        pot = np.concatenate([np.broadcast_to(x, (n, N, N)) for x, n in ((self.chain, len(g.chain)), (self.skip, len(skip)), (self.hub, len(hubs)))])
+        nodes, unary = len(unary), np.concatenate([unary, np.zeros((len(more), N))])
         to_right, to_left = np.zeros((len(left), N)), np.zeros((len(left), N))
         for _ in range(ROUNDS):
             belief = unary.copy()
@@ -178,12 +186,16 @@ class SkipChainModel:
             np.add.at(belief, left, to_left)
             new_right = _log_sum((belief[left] - to_left)[:, :, None] + pot, 1)
             new_left = _log_sum((belief[right] - to_right)[:, None, :] + pot, 2)
-            to_right += DAMPING * (new_right - to_right)
-            to_left += DAMPING * (new_left - to_left)
+            new_right -= to_right
+            new_left -= to_left
+            to_right += DAMPING * new_right
+            to_left += DAMPING * new_left
+            if max(np.abs(new_right).max(), np.abs(new_left).max()) <= TOLERANCE:
+                break
         belief = unary.copy()
         np.add.at(belief, right, to_right)
         np.add.at(belief, left, to_left)
-        return belief.argmax(axis=1)
+        return belief[:nodes].argmax(axis=1)
 
     def scan(self, found: list[str | None]) -> list[tuple[int, str, int, int]]:
         """(number of the text, kind, start, end) of what is found, in order."""
@@ -301,7 +313,7 @@ def pii_model(seed: int = SEED) -> SkipChainModel:
     left, right, kin = np.zeros((len(y), N)), np.zeros((len(y), N)), np.zeros((len(y), N))
     c = np.array(g.chain)
     left[c + 1], right[c] = eye[y[c]], eye[y[c + 1]]
-    for a, b in g.skip:
+    for a, b in (x for c in g.copies for x in zip(c, c[1:])):
         kin[a] += eye[y[b]]
         kin[b] += eye[y[a]]
     node, chain, skip = np.zeros((len(index), N), np.float32), np.zeros((N, N)), 0.0
@@ -322,8 +334,8 @@ def find_pii(docs: DataFrame, model: SkipChainModel | None = None) -> DataFrame:
     """(doc_id, label, start, end, value) for each piece of personal data; places are in characters of the text.
 
     Each row is a document by itself, so repeated rows give repeated results and a null doc_id is kept. A null or empty
-    text, or one without digit and @, has none. A token that repeats is linked to its last copy before it, so a text of
-    any number of copies has as many links. An empty table gives an empty result; other columns are ignored."""
+    text, or one without digit and @, has none. The copies of a token share one node that each is linked to, so a text
+    of any number of copies has as many links. An empty table gives an empty result; other columns are ignored."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model or pii_model())
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())

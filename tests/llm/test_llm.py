@@ -186,6 +186,17 @@ def test_pii_held_out(spark):
     assert got == [("EMAIL", "jo.doe@example.com"), ("PHONE", "+1-212-555-0147"), ("IP", "10.1.2.3")]
 
 
+def test_pii_evidence_reaches_all_copies():
+    """One telling context among dozens of copies; weights by hand, so that nothing but that context speaks for a phone."""
+    node = np.zeros((2, pii.N))
+    node[0, 0], node[1, 2] = 0.01, 9
+    model = pii.SkipChainModel({"bias": 0, "after phone": 1}, node, np.zeros((pii.N, pii.N)), 6 * np.eye(pii.N))
+    for n in (2, 3, 14, 60):
+        text = "phone 2125550147 and " + "then 2125550147 again " * (n - 1)
+        assert [kind for _, kind, *_ in model.scan([text])] == ["PHONE"] * n
+    assert model.scan(["then 2125550147 again " * 60]) == []
+
+
 def test_licenses(spark, docs, sf_dir):
     rows = [(1, "Hello\nLicensed under the Apache License, Version 2.0.\nbye"), (2, "A driving license is needed to rent a car."), (3, None), (4, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
