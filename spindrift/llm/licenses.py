@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import WORD, read_table, texts, tune_arrow
 
 SIMILARITY = 0.5
+#: A paragraph of so many word pairs that shares so many of all with a template is that template, whatever the model believes.
+SAME, SAME_PAIRS = 0.9, 10
 LASSO = 4e-4
 #: Weights that are smaller are dropped.
 FAINT = 0.5
@@ -40,6 +42,12 @@ TEMPLATES: dict[str, list[str]] = {
         "Distributed under the MIT License, see LICENSE for more information.",
         "the Software is provided as is, without warranty of any kind, under the MIT License",
         "permission is granted free of charge under the terms of the MIT license",
+        "MIT License",
+        "The MIT License",
+        "License: MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -52,6 +60,11 @@ TEMPLATES: dict[str, list[str]] = {
         "Apache Software License, Version 2.0",
         "Copyright {y} {h}. Licensed under the Apache License",
         "licensed to the Apache Software Foundation under contributor license agreements",
+        "Apache License",
+        "License: Apache-2.0",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -64,6 +77,11 @@ TEMPLATES: dict[str, list[str]] = {
         "Licensed under the GNU General Public License, version 2 or later.",
         "License: GPLv3",
         "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "GNU General Public License",
+        "License: GPL",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
     ],
     "lgpl": [
         "under the terms of the GNU Lesser General Public License",
@@ -72,6 +90,8 @@ TEMPLATES: dict[str, list[str]] = {
         "This library is free software; see the GNU Lesser General Public License",
         "Released under the LGPL v3.",
         "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1",
+        "GNU Lesser General Public License",
+        "License: LGPL",
     ],
     "agpl": [
         "under the terms of the GNU Affero General Public License",
@@ -79,6 +99,8 @@ TEMPLATES: dict[str, list[str]] = {
         "Licensed under the GNU Affero General Public License, version 3.",
         "Released under the AGPL v3.",
         "GNU AFFERO GENERAL PUBLIC LICENSE Version 3",
+        "GNU Affero General Public License",
+        "License: AGPL",
     ],
     "bsd": [
         "Licensed under the BSD 3-Clause License.",
@@ -89,6 +111,14 @@ TEMPLATES: dict[str, list[str]] = {
         "Redistributions of source code must retain the above copyright notice, this list of conditions",
         "Redistributions in binary form must reproduce the above copyright notice",
         "The 2-Clause BSD License, copyright {y} {h}",
+        "BSD License",
+        "BSD 3-Clause License",
+        "License: BSD",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     ],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -96,6 +126,10 @@ TEMPLATES: dict[str, list[str]] = {
         "SPDX-License-Identifier: MPL-2.0",
         "Released under the MPL 2.0 license.",
         "If a copy of the MPL was not distributed with this file, you can obtain one at mozilla.org",
+        "Mozilla Public License",
+        "Mozilla Public License Version 2.0",
+        "License: MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ],
     "cc-by": [
         "Licensed under CC BY 4.0.",
@@ -124,7 +158,7 @@ TEMPLATES: dict[str, list[str]] = {
         "This is free and unencumbered software released into the public domain.",
         "SPDX-License-Identifier: Unlicense",
     ],
-    "isc": ["SPDX-License-Identifier: ISC", "Licensed under the ISC License.", "ISC License, copyright {y} {h}", "Released under the terms of the ISC license."],
+    "isc": ["SPDX-License-Identifier: ISC", "Licensed under the ISC License.", "ISC License, copyright {y} {h}", "Released under the terms of the ISC license.", "ISC License", "License: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "proprietary": [
         "All rights reserved. Copyright (c) {y} {h}. Unauthorized copying of this file is strictly prohibited.",
         "Proprietary and confidential. All rights reserved.",
@@ -276,10 +310,14 @@ class LicenseModel:
                 score += v
         p = softmax(score[None] / self.temperature)[0]
         f = int(p.argmax())
+        own = pairs(paragraph)
         if f == 0 or p[f] < self.least:
+            for k, family in enumerate(self.families[1:], 1) if len(own) >= SAME_PAIRS else ():
+                for t in self.templates[family]:
+                    if SAME * len(t) <= len(own) <= len(t) / SAME and (same := len(own & t) / len(own | t)) >= SAME:
+                        return family, float(p[k]), same
             return UNKNOWN, float(p[0]), 0.0
-        own = pairs(paragraph)
-        alike = max(max(len(own & t) / len(t), len(own & t) / max(len(own), 3)) for t in self.templates[self.families[f]])
+        alike = max(max(len(own & t) / len(t), len(own & t) / max(len(own), 1)) for t in self.templates[self.families[f]])
         return (self.families[f] if alike >= SIMILARITY else UNKNOWN), float(p[f]), float(alike)
 
     def scan(self, text: str | None) -> list[tuple[int, str, float, float]]:

@@ -204,6 +204,19 @@ def test_licenses(spark, docs, sf_dir):
     assert [(r.doc_id, r.family) for r in scan(df).collect()] == [(1, "apache-2.0")]
 
 
+def test_standard_license_texts():
+    """Titles, and the grant of each text as one paragraph; and prose of the same words."""
+    model = licenses.license_model()
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    want = {"MIT License": "mit", "License: MIT": "mit", mit: "mit", "Apache License": "apache-2.0", "BSD 3-Clause License": "bsd", bsd: "bsd", gpl: "gpl", "GNU General Public License": "gpl", "Mozilla Public License Version 2.0": "mpl-2.0", "ISC License": "isc", isc: "isc"}
+    assert {p: [f for _, f, *_ in model.scan(f"Title\n\n{p}\nrest")] for p in want} == {p: [f] for p, f in want.items()}
+    for prose in (*licenses.OTHERS, "A driving license", "the license", "under the terms", "permission notice", "free of charge", "The software is free", "in the software"):
+        assert model.scan(prose) == []
+
+
 def test_toxicity_on_labelled_documents(docs, labels):
     found = {r.doc_id for r in toxicity.find_toxic(docs, labels).collect()}
     known = labels.join(docs, "doc_id").select("doc_id", "toxic").collect()
