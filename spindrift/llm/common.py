@@ -84,8 +84,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def without_keys(df: DataFrame, keys: DataFrame, column: str = "doc_id") -> DataFrame:
     """Rows of df whose column isn't among keys (one column of that name); nulls stay. Broadcasts keys only below BROADCAST_ROWS."""
-    small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(keys) if small else keys, column, "left_anti")
+    return df.join(sized(keys), column, "left_anti")
+
+
+def sized(keys: DataFrame) -> DataFrame:
+    """A table of few columns, as it is, or marked for broadcast if it has been counted and has at most BROADCAST_ROWS."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
 
 
 def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

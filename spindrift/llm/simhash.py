@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import CACHE_WORDS, materialise, read_table, texts, tune_arrow, without_keys, words
+from .common import CACHE_WORDS, materialise, read_table, sized, texts, tune_arrow, without_keys, words
 
 BITS = 256
 MAX_DISTANCE = 48
@@ -30,6 +30,11 @@ RECALL = 0.9
 STRIP = 7
 LIST_ROWS = 20_000
 LEAF_ROWS = 192
+#: Rows of a list that a task may get; longer ones are split. Leaders that a longer list is held against first.
+MOST_ROWS = 200_000
+LEADERS = 6
+#: Distances that are held at once.
+BLOCK = 2_000_000
 SEED = 20_011
 WORDS64 = BITS // 64
 FP = [f"f{i}" for i in range(WORDS64)]
@@ -130,34 +135,50 @@ def strip_values(fp: np.ndarray, coords: np.ndarray, shift: int) -> np.ndarray:
     return NEAREST[(value ^ np.uint64(shift)).astype(np.int64)]
 
 
-def close_pairs(fp: np.ndarray, rows: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows within the distance, by comparing each with each, a block at a time."""
-    step = max(1, 2_000_000 // max(1, len(rows)))
-    x = fp[rows]
-    for s in range(0, len(rows), step):
-        a = x[s : s + step]
-        d = np.zeros((len(a), len(x) - s), np.uint16)
-        for w in range(WORDS64):
-            d += np.bitwise_count(a[:, w, None] ^ x[None, s:, w])
-        i, j = np.nonzero(d <= most)
-        keep = j > i
-        yield rows[s + i[keep]], rows[s + j[keep]]
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits by which each row of a differs from each row of b."""
+    d = np.zeros((len(a), len(b)), np.uint16)
+    for w in range(WORDS64):
+        d += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
+    return d
 
 
-def roots(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest member of each one's component, by hooking and pointer jumping."""
-    root = np.arange(n)
-    if not pairs:
-        return root
-    a, b = (np.concatenate(x) for x in zip(*pairs))
+def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the components of the rows a[i] and b[i]; root has each row's smallest one, and is changed in place."""
     while True:
-        low, before = np.minimum(root[a], root[b]), root.copy()
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
+        a, b = root[a], root[b]
+        apart = a != b
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
         while (root != (up := root[root])).any():
-            root = up
-        if (root == before).all():
-            return root
+            root[:] = up
+
+
+def join_leaf(fp: np.ndarray, rows: np.ndarray, most: int, root: np.ndarray) -> None:
+    """Joins all rows of a list that lie within the distance, whatever its size, in memory of BLOCK distances.
+
+    A few leaders first join what lies around them: a cluster of near copies is one component after a pass or two. Then
+    only rows outside the largest component are compared, each with all before it and with that component; pairs that are
+    joined already are dropped as they come."""
+    left = rows
+    while len(left) > LEAF_ROWS:
+        near = distances(fp[left[:1]], fp[left])[0] <= most
+        merge(root, left[near], np.full(near.sum(), left[0]))
+        if near.sum() * 16 < len(left):
+            break
+        left = left[~near]
+    names, own, sizes = np.unique(root[rows], return_inverse=True, return_counts=True)
+    if len(names) == 1:
+        return
+    order = rows[np.argsort(own != sizes.argmax(), kind="stable")]
+    s, x = int(sizes.max()), fp[order]
+    while s < len(order):
+        e = min(len(order), s + max(1, BLOCK // len(order)))
+        i, j = np.nonzero((distances(x[s:e], x[:e]) <= most) & (root[order[s:e], None] != root[order[:e]]))
+        merge(root, order[s + i], order[j])
+        s = e
 
 
 def search_list(fp: np.ndarray, most: int = MAX_DISTANCE, recall: float = 0.95, seed: int = SEED) -> np.ndarray:
@@ -165,24 +186,48 @@ def search_list(fp: np.ndarray, most: int = MAX_DISTANCE, recall: float = 0.95,
     chance of finding a pair is known; what is left there, however uneven, is compared by brute force."""
     n = len(fp)
     depth = max(0, math.ceil(math.log(max(1, n / LEAF_ROWS), 16)))
-    pairs = []
+    root = np.arange(n)
     rng = np.random.default_rng(seed)
     for _ in range(repeats(capture(most, depth), recall)):
+        if not root.any():
+            break  # all are one component
         key = np.zeros(n, np.int64)
         for coords, shift in strips(rng, depth):
             key = key * 16 + strip_values(fp, coords, shift)
         order = np.argsort(key, kind="stable")
         cuts = np.flatnonzero(np.diff(key[order])) + 1
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for rows in np.split(order, cuts):
-            if len(rows) > 1:
-                pairs += [p for p in close_pairs(fp, rows, most) if len(p[0])]
-    return roots(n, pairs)
+            if len(rows) > 4 * LEAF_ROWS:
+                join_leaf(fp, rows, most, root)
+            elif len(rows) > 1:
+                i, j = np.nonzero(np.triu(distances(fp[rows], fp[rows]) <= most, 1))
+                apart = root[rows[i]] != root[rows[j]]
+                held.append((rows[i[apart]], rows[j[apart]]))
+                if sum(len(a) for a, _ in held[-64:]) > BLOCK or len(held) > 4096:
+                    merge(root, *(np.concatenate(x) for x in zip(*held)))
+                    held = []
+        if held:
+            merge(root, *(np.concatenate(x) for x in zip(*held)))
+    return root
 
 
-def near_edges(reps: DataFrame, n: int, most: int = MAX_DISTANCE, recall: float = RECALL) -> DataFrame:
+def _sorted_list(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """A list by doc_id, so that the smallest row of a component is its smallest id; with ids and fingerprints."""
+    table = table.sort_by("doc_id")
+    return table, table.column("doc_id").to_numpy(), np.stack([table.column(c).to_numpy() for c in FP], axis=1).view(np.uint64)
+
+
+def _links(ids: np.ndarray, root: np.ndarray) -> pa.Table:
+    at = np.flatnonzero(root != np.arange(len(root)))
+    return pa.table({"a": ids[at], "b": ids[root[at]]})
+
+
+def near_edges(reps: DataFrame, n: int, most: int = MAX_DISTANCE, recall: float = RECALL, most_rows: int = MOST_ROWS) -> DataFrame:
     """Edges (a, b), a > b, that join what lies within the distance; reps has doc_id and distinct fingerprints.
 
-    Only the top of the recursion is a shuffle: each repeat sends each fingerprint to one list."""
+    Only the top of the recursion is a shuffle: each repeat sends each fingerprint to one list. No task gets a list of more
+    than most_rows: one above that, such as of a page's endless variants, goes through crowded_edges."""
     depth = max(0, math.ceil(math.log(max(1, n / LIST_ROWS), 16)))
     # Found if a repeat sends both to one list and the search of the list finds them.
     inner = 0.95
@@ -196,16 +241,62 @@ def near_edges(reps: DataFrame, n: int, most: int = MAX_DISTANCE, recall: float
         keys.append(key)
 
     def search(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_numpy()
-        order = np.argsort(ids)  # the smallest row of a component is then its smallest id
-        ids = ids[order]
-        fp = np.stack([table.column(c).to_numpy()[order] for c in FP], axis=1).view(np.uint64)
-        root = search_list(fp, most, inner if depth else recall, SEED + 1 + int(key[0].as_py()) % 1_000_003)
-        at = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"a": ids[at], "b": ids[root[at]]})
+        _, ids, fp = _sorted_list(table)
+        return _links(ids, search_list(fp, most, inner if depth else recall, SEED + 1 + int(key[0].as_py()) % 1_000_003))
 
     sent = reps.select("doc_id", *FP, F.explode(F.array(*keys)).alias("list"))
-    return sent.groupBy("list").applyInArrow(search, "a long, b long").distinct()
+    crowded = materialise(sent.groupBy("list").count().where(F.col("count") > most_rows).select("list"))
+    if not crowded.take(1):
+        return sent.groupBy("list").applyInArrow(search, "a long, b long").distinct()
+    found = without_keys(sent, crowded, "list").groupBy("list").applyInArrow(search, "a long, b long")
+    return found.unionByName(crowded_edges(sent.join(sized(crowded), "list", "left_semi"), most, most_rows)).distinct()
+
+
+def crowded_edges(rows: DataFrame, most: int, most_rows: int) -> DataFrame:
+    """The edges within lists of any size, with no loss; rows has list, doc_id and fingerprint.
+
+    Leaders, one a list and round, take what lies around them by expressions alone. What no leader takes is compared with
+    itself and with what the leaders took, piece by piece, in tasks of at most about twice most_rows."""
+    rest = materialise(rows)
+    taken, edges = [], []
+    here = ["list", "doc_id", *FP]
+    for k in range(LEADERS):
+        first = materialise(rest.groupBy("list").agg(F.min_by(F.struct("doc_id", *FP), F.xxhash64(F.lit(k), "doc_id")).alias("leader")))
+        apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"leader.{c}"))) for c in FP[1:]), F.bit_count(F.col(FP[0]).bitwiseXOR(F.col(f"leader.{FP[0]}"))))
+        seen = materialise(rest.join(sized(first), "list").select(*here, F.col("leader.doc_id").alias("known"), (apart <= most).alias("near")))
+        ball = seen.where("near").select(*here, "known")
+        taken.append(ball)
+        edges.append(ball.where("doc_id <> known").select(F.col("doc_id").alias("a"), F.col("known").alias("b")))
+        rest = seen.where("not near").select(*here)
+        if not rest.take(1):
+            break
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.unionByName(e)
+    ball = taken[0]
+    for t in taken[1:]:
+        ball = ball.unionByName(t)
+    pieces = F.ceil(F.col("n") / most_rows).cast("int")
+    r = materialise(rest.groupBy("list").agg(F.count("*").alias("n")).select("list", pieces.alias("r")))
+    b = materialise(ball.groupBy("list").agg(F.count("*").alias("n")).select("list", pieces.alias("b")))
+    piece = lambda c: F.pmod(F.xxhash64(F.lit(-1), "doc_id"), F.col(c)).cast("int")
+    task = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    own = rest.join(sized(r), "list").join(sized(b), "list").withColumn("p", piece("r")).withColumn("known", F.col("doc_id"))
+    others = F.transform(F.sequence(F.lit(0), F.col("r") + F.col("b") - 1), lambda q: task(F.least(F.col("p"), q), F.greatest(F.col("p"), q)))
+    lead = ball.join(sized(r), "list").join(sized(b), "list").withColumn("p", F.col("r") + piece("b"))
+    with_rest = F.transform(F.sequence(F.lit(0), F.col("r") - 1), lambda q: task(q, F.col("p")))
+    sent = own.select(*here, "known", F.explode(others).alias("t")).unionByName(lead.select(*here, "known", F.explode(with_rest).alias("t")))
+
+    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table, ids, fp = _sorted_list(table)
+        known = table.column("known").to_numpy()
+        _, at, back = np.unique(known, return_index=True, return_inverse=True)  # at: the smallest row of each component
+        root = at[back]
+        join_leaf(fp, np.arange(len(ids)), most, root)
+        return _links(ids, root)
+
+    found = sent.groupBy("list", "t").applyInArrow(compare, "a long, b long")
+    return out.unionByName(found)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -232,8 +323,9 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, recall: f
     """(doc_id, group_id) for each document that has a near duplicate; group_id is the smallest doc_id of the group.
 
     Documents with the same words, whatever their order and punctuation, are always in one group; so are rows that
-    repeat a doc_id. Null or wordless texts and null doc_ids are in no group. An empty table gives an empty result.
-    Other columns of docs are ignored."""
+    repeat a doc_id. Null or wordless texts and null doc_ids are in no group. A text of any length counts whole, by its
+    distinct words. A cluster of any number of near copies, all tied, is one group: lists are split, see crowded_edges.
+    An empty table gives an empty result. Other columns of docs are ignored."""
     fps = materialise(fingerprint_table(docs))
     same = fps.groupBy(*FP).agg(F.min("doc_id").alias("rep"))
     reps = materialise(same)

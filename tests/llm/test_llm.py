@@ -217,47 +217,6 @@ def test_standard_license_texts():
         assert model.scan(prose) == []
 
 
-def test_toxicity_on_labelled_documents(docs, labels):
-    found = {r.doc_id for r in toxicity.find_toxic(docs, labels).collect()}
-    known = labels.join(docs, "doc_id").select("doc_id", "toxic").collect()
-    bad, good = {r.doc_id for r in known if r.toxic == 1}, {r.doc_id for r in known if r.toxic == 0}
-    if bad and found:
-        assert len(found & bad) >= 0.7 * len(bad) and len(found & good) <= 0.05 * len(good)
-
-
-@pytest.mark.parametrize("n_docs, n_toxic", [(120, 40), (9000, 8)])
-def test_toxic_terms_of_any_share(spark, n_docs, n_toxic):
-    """Terms of a third of all documents, and terms of fewer than one in a thousand."""
-    rng = np.random.default_rng(7)
-    fill = [f"w{i}" for i in range(300)]
-    rows = [(i, " ".join([*rng.choice(fill, 25), *(["vilea", "vileb", "vilec"] if i < n_toxic else ["kinda", "kindb", "kindc"] if i < 400 and i % 2 else [])])) for i in range(n_docs)]
-    texts = spark.createDataFrame(rows, "doc_id long, text string")
-    known = spark.createDataFrame([(i, int(i < n_toxic)) for i in range(min(n_docs, 400))], "doc_id long, toxic int")
-    assert {r.doc_id for r in toxicity.find_toxic(texts, known).collect()} == set(range(n_toxic))
-
-
-def test_copies_count_as_one_document(spark):
-    rows = [(1, "a b"), (1, "a b"), (None, "a b"), (2, "a c"), (3, None)]
-    sample = spark.createDataFrame([(2, 1)], "doc_id long, toxic int")
-    got = toxicity.word_counts(spark.createDataFrame(rows, "doc_id long, text string"), sample).collect()
-    assert {r.word: (r.docs, r.toxic, r.clean) for r in got} == {"a": (2, 1, 0), "b": (1, 0, 0), "c": (1, 1, 0)}
-
-
-def test_pair_counts_by_brute_force(spark):
-    texts = ["a b c a d", "b a", None, "", "z a z b"]
-    vocabulary = {"a": 0, "b": 1, "c": 2, "d": 3}
-    want = {}
-    for t in texts:
-        ids = [vocabulary.get(w, -1) for w in words(t)]
-        for i in range(len(ids)):
-            for j in range(i + 1, min(len(ids), i + toxicity.WINDOW + 1)):
-                if ids[i] >= 0 and ids[j] >= 0 and ids[i] != ids[j]:
-                    k = tuple(sorted((ids[i], ids[j])))
-                    want[k] = want.get(k, 0) + 1
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    assert {(r.a, r.b): r.n for r in toxicity.pair_counts(df, vocabulary).collect()} == want
-
-
 def test_quality_rules_as_columns(docs, labels):
     model = quality.quality_model(docs, labels)
     x, y = quality.training_rows(docs, labels)
