@@ -1,8 +1,9 @@
 """Secrets in texts, by novelty against what surrounds them.
 
-A candidate is a long run of key characters in a sensitive context: assigned to a name such as token or password, or with
-a known prefix of its own; or all lines of a private key, from its header to its end. Its novelty is its marginal size: the bytes that zstandard
-needs for context and candidate, less those for the context alone, with a dictionary primed with the corpus's identifiers
+A candidate is a run of key characters in a sensitive context: assigned to a name such as token or password, or with a known
+prefix of its own; a quoted or bare value of any characters that such a name is given; the password within a URL; or all
+lines of a private key, from its header to its end. Its novelty is its marginal size: the bytes that zstandard needs for
+context and candidate, less those for the context alone, with a dictionary primed with the corpus's identifiers
 and words. A word or a name that the corpus or the surroundings know compresses to little; a key doesn't, and is reported.
 
 The identifiers are counted over all documents. Only whole ones without digits count, of at most 24 characters, so that
@@ -30,18 +31,22 @@ BEFORE, AFTER = 160, 80
 #: Marginal bytes that a secret has at least, in all and as a share of what random characters of its alphabet hold.
 MIN_BYTES, MIN_SHARE = 9, 0.9
 NAME_SHARE, FEW_DIGITS = 0.75, 0.1
+#: Marginal bytes of a password that its place in a URL gives away.
+URL_BYTES = 6
 MASK = "[SECRET]"
 
 IDENTIFIER = re.compile(r"[^\W\d]{4,24}")
 _NAMES = ["token", "secret", "passw", "pwd", "api_key", "apikey", "api-key", "access_key", "accesskey", "auth", "credential", "bearer", "private_key", "client_key", "private key-----"]
 #: Of each alternative of CANDIDATE's names, the part that all its spellings share.
-_STEMS = ["token", "secret", "passw", "pwd", "apikey", "api_key", "api-key", "access", "auth", "credential", "bearer", "private", "client"]
+_STEMS = ["://", "token", "secret", "passw", "pwd", "apikey", "api_key", "api-key", "access", "auth", "credential", "bearer", "private", "client"]
 _PREFIXES = ["AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk-", "sk_live_", "sk_test_", "xox", "AIza", "eyJ", "npm_", "hf_"]
 _PREFIX = re.compile("|".join(map(re.escape, _PREFIXES)))
 #: Breaks within keys and what joins their parts; and small alphabets by their sizes.
 _NO_KEY = re.compile(r"\\[rn]|[\s_.=\-]")
 _ALPHABETS = [(10, re.compile(r"\d+")), (16, re.compile(r"[\da-f]+|[\dA-F]+")), (32, re.compile(r"[A-Z2-7]+")), (36, re.compile(r"[a-z\d]+|[A-Z\d]+"))]
 _KEY = r"[A-Za-z0-9+/_\-]"
+#: Ahead of a value of any characters: letters, a digit and something else, as passwords have and prose hasn't.
+_MIXED = r"(?=[^\s\"']{0,199}?[A-Za-z])(?=[^\s\"']{0,199}?\d)(?=[^\s\"']{0,199}?[^\w\s\"'.,:;/\-])"
 _BREAKS = re.compile(r"\\[rn]|\s+")
 _BREAK, _BLOCK = r"(?:\s|\\[rn])", "[A-Za-z0-9+/]"
 CANDIDATE = re.compile(
@@ -52,7 +57,10 @@ CANDIDATE = re.compile(
             | {_BLOCK}{{12,}}={{0,2}}(?:{_BREAK}{{1,4}}{_BLOCK}{{16,}}={{0,2}})*(?:{_BREAK}{{1,4}}{_BLOCK}{{1,15}}={{1,2}})?)
       | (?i:[\w\-]{{0,40}}(?:token|secret|passw(?:or)?d|passwd|pwd|api[_\-]?key|access[_\-]?key|auth(?:orization)?|credentials?|private[_\-]?key|client[_\-]?key)[\w\-]{{0,20}}["']?\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}(?:bearer\s{{1,3}})?["']?
          | \bbearer\s{{1,3}} | private\ key-----\s{{0,4}})
-        (?P<a>{_KEY}{{12,}}(?:\.{_KEY}{{8,}})*={{0,2}})
+        (?:(?<=["'])(?P<q>{_MIXED}[^\s"']{{9,200}}+)(?=["'])
+         | (?P<a>{_KEY}{{12,}}(?:\.{_KEY}{{8,}})*={{0,2}})
+         | (?![^\s@]{{0,100}}@[\w\-]{{1,60}}\.\w | \S{{0,200}}://){_MIXED}(?P<r>[^\s"'<>(){{}}\[\],;]{{10,200}}+))
+      | (?<![A-Za-z0-9+.\-])[A-Za-z][A-Za-z0-9+.\-]{{1,20}}+://[^\s:/@?\#"'<>]{{0,80}}+:(?P<u>(?=[A-Za-z]*+[^\s/@"'<>])[^\s/@"'<>]{{6,200}}+)@
       | (?<![A-Za-z0-9_])(?P<b>(?:AKIA|ASIA|gh[pos]_|github_pat_|glpat-|sk-|sk_live_|sk_test_|xox[abprs]-|AIza|eyJ|npm_|hf_){_KEY}{{12,}}(?:\.{_KEY}{{8,}})*={{0,2}})
     )""",
     re.VERBOSE,
@@ -123,6 +131,25 @@ def least_bytes(candidate: str) -> float:
     return min(NAME_SHARE * len(candidate), MIN_SHARE * len(core) * math.log2(size) / 8)
 
 
+def _after(text: str, cand: str, at: int, need: int = AFTER) -> str:
+    """The next characters that aren't of copies of the candidate; no more of the text is read than that takes."""
+    parts = []
+    while (j := text.find(cand, at, at + need + len(cand) - 1)) >= 0:
+        parts.append(text[at:j])
+        need -= j - at
+        at = j + len(cand)
+    return "".join([*parts, text[at : at + need]])
+
+
+def _before(text: str, cand: str, at: int, need: int = BEFORE) -> str:
+    parts = []
+    while (j := text.rfind(cand, max(0, at - need - len(cand) + 1), at)) >= 0:
+        parts.append(text[j + len(cand) : at])
+        need -= at - j - len(cand)
+        at = j
+    return "".join([text[max(0, at - need) : at], *reversed(parts)])
+
+
 class Novelty:
     """Marginal compressed bytes, against a dictionary of identifiers and the surroundings."""
 
@@ -145,12 +172,9 @@ class Novelty:
             which = m.lastgroup
             s, e = m.span(which)
             cand = m.group(which)
-            left, right = text[:s], text[e:]
-            if text.count(cand) > 1:
-                left, right = left.replace(cand, ""), right.replace(cand, "")
-            context = right[:AFTER] + " " + left[-BEFORE:]
+            context = _after(text, cand, e) + " " + _before(text, cand, s)
             n = self.marginal(context, cand if which != "p" else _BREAKS.sub("", cand))
-            if n >= MIN_BYTES and n >= least_bytes(cand):
+            if n >= (URL_BYTES if which == "u" else MIN_BYTES) and n >= least_bytes(cand):
                 out.append((s, e, cand, n))
         return out
 
@@ -159,7 +183,7 @@ def find_secrets(docs: DataFrame, dictionary: bytes | None = None) -> DataFrame:
     """(doc_id, start, end, secret, novelty) for each secret of each row; novelty is in bytes, places are in characters.
 
     Each row is searched by itself, so repeated rows give repeated results and a null doc_id is kept. A null or empty
-    text holds none. A secret that occurs twice in a text is reported at each place: its other copies don't count as
+    text holds none. A text of any length is searched whole, in time that grows with its length. A secret that occurs twice in a text is reported at each place: its other copies don't count as
     context. An empty table gives an empty result; other columns are ignored."""
     known = primed_dictionary(docs) if dictionary is None else dictionary
     tune_arrow(docs.sparkSession)
@@ -186,7 +210,8 @@ def redact_text(text: str, hits: list[tuple[int, int, str, int]]) -> str:
 def redact_secrets(docs: DataFrame, dictionary: bytes | None = None) -> DataFrame:
     """docs with each secret masked in the text, and n_chars, where docs has it, counted again; all rows and columns.
 
-    What isn't a secret is left as it is, null and empty texts too."""
+    What isn't a secret is left as it is, null and empty texts too; repeated rows and null keys stay. A column of docs may
+    have any name. An empty table gives an empty result."""
     known = primed_dictionary(docs) if dictionary is None else dictionary
     tune_arrow(docs.sparkSession)
 
@@ -201,6 +226,8 @@ def redact_secrets(docs: DataFrame, dictionary: bytes | None = None) -> DataFram
         return F.coalesce(F.col(f"`{new}`"), F.col("text")).alias("text") if c == "text" else F.coalesce(F.length(f"`{new}`").cast(docs.schema["n_chars"].dataType), F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`")
 
     new = "__masked_text"
+    while new in docs.columns:
+        new += "_"
     return docs.withColumn(new, redact(F.col("text").cast("string"))).select(*[changed(c) for c in docs.columns])
 
 
