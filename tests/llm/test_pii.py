@@ -75,8 +75,8 @@ def test_groups_of_texts_change_nothing(monkeypatch):
 
 def test_long_text_of_numbers():
     rng = np.random.default_rng(1)
-    text = "phone 2125550147 and " + " ".join(str(int(x)) for x in rng.integers(0, 10**6, 100_000)) + " and then 2125550147 again"
+    text = "phone 212-555-0147 and " + " ".join(str(int(x)) for x in rng.integers(0, 10**6, 100_000)) + " and then 212-555-0147 again"
     start = time.process_time()
-    got = [(s, kind) for _, kind, s, e in pii.pii_model().scan([text]) if text[s:e] == "2125550147"]
+    got = [(s, kind) for _, kind, s, e in pii.pii_model().scan([text]) if text[s:e] == "212-555-0147"]
     assert [k for _, k in got] == ["PHONE", "PHONE"]
     assert time.process_time() - start < 120
