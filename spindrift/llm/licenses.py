@@ -2,12 +2,14 @@
 
 A multinomial logistic regression on word 1- and 2-grams, with a lasso that leaves few of them, tells licence families and
 "unknown" apart. It is trained here, on notices put together from the phrases below and on paragraphs of other kinds,
-those about licences of the driving and fishing sort among them. A part of the examples is held out to calibrate: one
-temperature, and the least probability at which a family is believed; below it a paragraph is unknown. A family is
+those about licences of the driving and fishing sort among them. To calibrate, a quarter of the notices and of the other
+paragraphs, with all that is made of them, is held out from a first fit: they give one temperature, and the least
+probability at which a family is believed; below it a paragraph is unknown. The weights are those of a fit on all. A family is
 reported only if its templates confirm it: enough of the paragraph's word pairs are in one, or of one in the paragraph.
 
-A paragraph is a line. Lines that have no n-gram in favour of any family are unknown whatever else they hold, and most
-lines are passed over on that ground.
+A paragraph is a line; and, where no line of it is a notice by itself, all lines between two blank ones together, as of a
+text that is wrapped. Paragraphs that have no n-gram in favour of any family are unknown whatever else they hold, and most
+are passed over on that ground.
 """
 
 from __future__ import annotations
@@ -227,9 +229,10 @@ def pairs(paragraph: str) -> set[str]:
     return {f"{a} {b}" for a, b in zip(ws, ws[1:])} or set(ws)
 
 
-def examples(rng: np.random.Generator) -> tuple[list[str], list[str]]:
-    """Paragraphs and families: each template as it is and altered, as a rest of a sentence or among other words."""
-    made, family = [], []
+def examples(rng: np.random.Generator) -> tuple[list[str], list[str], list[int]]:
+    """Paragraphs, families, and the numbers of what they are made of: each template as it is and altered, as a rest of a
+    sentence or among other words."""
+    made, family, origin = [], [], []
     fill = [w for o in OTHERS for w in o.split()]
 
     def some(n: int) -> str:
@@ -245,10 +248,12 @@ def examples(rng: np.random.Generator) -> tuple[list[str], list[str]]:
                 keep = rng.random(len(ws)) > 0.12
                 made.append(" ".join(w for w, k in zip(ws, keep) if k) or n)
             family += [f] * (len(made) - len(family))
+            origin += [origin[-1] + 1 if origin else 0] * (len(made) - len(origin))
     for _ in range(300):
         made.append(some(int(rng.integers(3, 30))))
         family.append(UNKNOWN)
-    return made, family
+        origin.append(origin[-1] + 1)
+    return made, family, origin
 
 
 class LicenseModel:
@@ -256,20 +261,18 @@ class LicenseModel:
 
     def __init__(self, seed: int = SEED) -> None:
         rng = np.random.default_rng(seed)
-        made, family = examples(rng)
+        made, family, origin = examples(rng)
         self.families = [UNKNOWN, *TEMPLATES]
         y = np.array([self.families.index(f) for f in family])
         found = [set(grams(p)) for p in made]
         vocabulary = {g: i for i, g in enumerate(sorted(set().union(*found)))}
-        x = np.zeros((len(made), len(vocabulary) + 1))
+        x = np.zeros((len(made), len(vocabulary) + 1), np.float32)
         x[:, -1] = 1
         for i, gs in enumerate(found):
             x[i, [vocabulary[g] for g in gs]] = 1
-        held = rng.random(len(y)) < 0.25
-        w = self._fit(x[~held], y[~held])
-        w -= w[:, :1]  # against unknown, whose score is then always 0
-        w[:-1][np.abs(w[:-1]) < FAINT] = 0
-        self.temperature, self.least = self._calibrate(x[held] @ w, y[held])
+        held = (rng.random(origin[-1] + 1) < 0.25)[origin]
+        self.temperature, self.least = self._calibrate(x[held] @ self._fit(x[~held], y[~held]), y[held])
+        w = self._fit(x, y)
         self.bias = w[-1]
         rows = [(g, w[i]) for g, i in vocabulary.items() if np.abs(w[i]).max() > 1e-6]
         self.weights = dict(rows)
@@ -278,16 +281,18 @@ class LicenseModel:
         self.templates = {f: [pairs(n.replace("{y}", "").replace("{h}", "")) for n in notices] for f, notices in TEMPLATES.items()}
 
     def _fit(self, x: np.ndarray, y: np.ndarray, steps: int = 200) -> np.ndarray:
-        t = np.eye(len(self.families))[y]
+        t = np.eye(len(self.families), dtype=np.float32)[y]
         t = t / len(y)
         rate = 2 / (np.linalg.norm(x, 2) ** 2 / len(x))
-        w = np.zeros((x.shape[1], len(self.families)))
+        w = np.zeros((x.shape[1], len(self.families)), np.float32)
         v, k = w.copy(), 1.0
         for _ in range(steps):
             z = v - rate * (x.T @ (softmax(x @ v) / len(y) - t))
             z[:-1] = np.sign(z[:-1]) * np.maximum(np.abs(z[:-1]) - rate * LASSO, 0)
             k, before = (1 + (1 + 4 * k * k) ** 0.5) / 2, k
             v, w = z + (before - 1) / k * (z - w), z
+        w = w - w[:, :1]  # against unknown, whose score is then always 0
+        w[:-1][np.abs(w[:-1]) < FAINT] = 0
         return w
 
     def _calibrate(self, scores: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -324,17 +329,29 @@ class LicenseModel:
         """(number of the paragraph, family, probability, similarity) of the licence notices in a text."""
         if not text:
             return []
-        low = text.lower()
-        if self.triggers is not None and self.triggers.isdisjoint(WORD.findall(low)):
+        if not self._may_be(text):
             return []
-        out = []
-        for i, paragraph in enumerate(text.split("\n")):
-            if self.triggers is None or not self.triggers.isdisjoint(WORD.findall(paragraph.lower())):
-                f, p, alike = self.classify(paragraph)
-                if f != UNKNOWN:
-                    out.append((i, f, p, alike))
+        out, block, at = [], [], 0
+        for i, line in enumerate([*text.split("\n"), ""]):
+            if line.strip():
+                if not block:
+                    at = i
+                block.append(line)
+            elif block:
+                out += self._notices(block, at)
+                block = []
         return out
 
+    def _may_be(self, text: str) -> bool:
+        return self.triggers is None or not self.triggers.isdisjoint(WORD.findall(text.lower()))
+
+    def _notices(self, block: list[str], at: int) -> list[tuple[int, str, float, float]]:
+        told = [i for i, line in enumerate(block) if self._may_be(line)]
+        found = [(at + i, *x) for i in told if (x := self.classify(block[i]))[0] != UNKNOWN]
+        if not found and told and len(block) > 1 and (x := self.classify(" ".join(block)))[0] != UNKNOWN:
+            return [(at, *x)]
+        return found
+
 
 def softmax(s: np.ndarray) -> np.ndarray:
     e = np.exp(s - s.max(axis=1, keepdims=True))
@@ -347,10 +364,11 @@ def license_model() -> LicenseModel:
 
 
 def find_licenses(docs: DataFrame, model: LicenseModel | None = None) -> DataFrame:
-    """(doc_id, paragraph, family, probability, similarity) for each licence notice; paragraphs are counted from 0.
+    """(doc_id, paragraph, family, probability, similarity) for each licence notice; paragraph is the number of its first
+    line, from 0.
 
     Each row is searched by itself, so repeated rows give repeated results and a null doc_id is kept. A null or empty
-    text has no notice. A paragraph that names two families is reported under the likelier one. An empty table gives an
+    text has no notice; one of any length is searched whole. A paragraph that names two families is reported under the likelier one. An empty table gives an
     empty result; other columns are ignored."""
     sent = docs.sparkSession.sparkContext.broadcast(model or license_model())
 
