@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import extraction, relational, scalars, state
+from . import extraction, relational, runs, scalars, state
 from .base import QUERIES, SQL, Query
 
 flagship = extraction.flagship
-MODULES = (extraction, relational, scalars, state)
+MODULES = (extraction, relational, runs, scalars, state)
 
 
 def queries() -> dict[str, Query]:

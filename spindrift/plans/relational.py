@@ -34,9 +34,14 @@ def nested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_partkey % 10 = 0)")
 def nested_fail_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A parent fails with any of its children."""
-    bad = table(spark, sf_dir, "lineitem").where("l_partkey % 10 = 0").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders").join(bad, "o_orderkey", "left_anti").select("o_orderkey")
+    """Pages for orders that link to pages for their parts; every tenth part has none, and a parent fails with any child."""
+    s = spec(fields=[{**take("parts", "a"), "is_list": True, "attribute": "href", "follow_url": True, "nested_fields": [take("id", "h1")]}], max_nested_urls=100, fail_parent_on_nested_error=True)
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l_partkey")), lambda k: F.concat(F.lit('<a href="/part/'), k.cast("string"), F.lit('">p</a>'))), "").alias("links"))
+    url = lambda kind, c: F.concat(F.lit(f"http://shop.test/{kind}/"), c.cast("string"))
+    parents = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", url("order", F.col("o_orderkey")).alias("url"), F.concat(F.lit("<p>"), F.coalesce("links", F.lit(""))).alias("html"))
+    parts = table(spark, sf_dir, "part").where("p_partkey % 10 <> 0").select(url("part", F.col("p_partkey")).alias("url"), F.lit("<h1>Part</h1>").alias("html"))
+    rows = nested.follow(nested.extract(parents, s, ("o_orderkey", "url")), nested.page_index(parts), s, policy=UrlPolicy())
+    return rows.where("error_category is null").select("o_orderkey")
 
 
 @query("""
@@ -76,17 +81,17 @@ def cycle_depth_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH RECURSIVE l AS (SELECT page_id AS key, lead(page_id) OVER (PARTITION BY page_id % 50 ORDER BY page_id) AS next_key FROM pages),
 w(start, page_no, key) AS (SELECT min(page_id), 1, min(page_id) FROM pages GROUP BY page_id % 50
-  UNION ALL SELECT w.start, w.page_no + 1, l.next_key FROM w JOIN l ON l.key = w.key WHERE w.page_no < 4 AND l.next_key IS NOT NULL)
+  UNION ALL SELECT w.start, w.page_no + 1, l.next_key FROM w JOIN l ON l.key = w.key WHERE w.page_no < 5 AND l.next_key IS NOT NULL)
 SELECT start, page_no, key FROM w
 """)
 def next_page_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fifty chains of pages, walked side by side, four pages each at most."""
+    """Fifty chains of pages, walked side by side, five pages each at most, as is usual."""
     from pyspark.sql.window import Window
 
     pages = table(spark, sf_dir, "pages")
     part = (F.col("page_id") % 50).alias("m")
     links = pages.select(F.col("page_id").alias("key"), F.lead("page_id").over(Window.partitionBy(part).orderBy("page_id")).alias("next_key"))
-    return crawl.walk_pages(pages.groupBy(part).agg(F.min("page_id").alias("start")).select("start"), links, 4)
+    return crawl.walk_pages(pages.groupBy(part).agg(F.min("page_id").alias("start")).select("start"), links)
 
 
 def _dedup(mode: str, by: tuple[str, ...] = (), url: str | None = None):
@@ -136,7 +141,7 @@ SELECT CAST(c.c_custkey AS VARCHAR) AS customer_key, c_name AS customer_name, n_
 FROM customer c JOIN nation ON n_nationkey = c_nationkey
 """)
 def csv_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     rows = rows.select(F.struct(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.struct(F.col("n_name").alias("name")).alias("nation")).alias("customer"), F.array("c_mktsegment", "n_name").alias("tags"))
     return flat_rows(rows, ["tags", "missing"])
 
@@ -171,7 +176,11 @@ def first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(crawl.first_match(a, b), ",").alias("found"))
 
 
-@query("SELECT o_orderkey, array_to_string(list(DISTINCT l_returnflag ORDER BY l_returnflag), ',') AS flags FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+@query("""
+SELECT l_orderkey, l_returnflag, CAST(l_linenumber AS INT) AS l_linenumber FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey) = 1
+""")
 def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_set("l_returnflag")).alias("f"))
-    return lists.join(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", F.array_join("f", ",").alias("flags"))
+    """Of each order the flags of its lines, each at its first line."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("key", F.struct("l_orderkey", "l_returnflag"))
+    return records.ordered_distinct(lines, "key", ["l_linenumber", "l_partkey"]).select("l_orderkey", "l_returnflag", F.col("l_linenumber").cast("int").alias("l_linenumber"))

@@ -23,10 +23,10 @@ def fn_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", F.md5(transforms.strip(padded)).alias("stripped"))
 
 
-@query("SELECT doc_id, coalesce(try_cast(regexp_replace(source || ':' || CAST(n_chars AS VARCHAR) || '.25 EUR', '[^0-9.\\-]', '', 'g') AS DOUBLE), 0) AS price, coalesce(try_cast(regexp_replace(left(text, 40), '[^0-9.\\-]', '', 'g') AS DOUBLE), 0) AS number FROM documents")
+@query("SELECT doc_id, coalesce(try_cast(regexp_replace(source || ':' || CAST(n_chars AS VARCHAR) || '.25 EUR', '[^0-9.\\-]', '', 'g') AS DOUBLE), 0) AS price, coalesce(try_cast(regexp_replace(text, '[^0-9.\\-]', '', 'g') AS DOUBLE), 0) AS number FROM documents")
 def fn_to_float(spark: SparkSession, sf_dir: str) -> DataFrame:
     priced = F.concat("source", F.lit(":"), F.col("n_chars").cast("string"), F.lit(".25 EUR"))
-    return _documents(spark, sf_dir).select("doc_id", transforms.to_float(priced).alias("price"), transforms.to_float(F.left("text", F.lit(40))).alias("number"))
+    return _documents(spark, sf_dir).select("doc_id", transforms.to_float(priced).alias("price"), transforms.to_float(F.col("text")).alias("number"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, coalesce(try_cast(replace(replace(replace(printf('%.2f', l_extendedprice), '.', ','), ' ', ''), ',', '.') AS DOUBLE), 0) AS price FROM lineitem")

@@ -49,12 +49,11 @@ def parse_sitemaps(documents: DataFrame, url: str = "url", body: str = "body", m
 def discover(roots: list[str], documents: DataFrame, max_urls: int = 10_000, max_depth: int = 3, max_documents: int = 10_000, max_queue: int = 10_000, max_bytes: int = 10_000_000, allowed=None) -> list[str]:
     """The page URLs that a breadth-first walk over the documents (url, body) finds, in order, within the bounds.
 
-    A level is one join of the frontier with the parsed documents. The bounds limit what is kept on the driver: at most
-    max_queue URLs of documents and max_urls of pages. allowed(url Column) may restrict both."""
+    A level is one join of the frontier with the documents; only those are parsed. The bounds limit what is kept on the
+    driver: at most max_queue URLs of documents and max_urls of pages. A document of more than max_bytes is passed over.
+    allowed(url Column) may restrict documents and pages."""
     spark = documents.sparkSession
-    parsed = parse_sitemaps(documents, max_bytes=max_bytes)
-    size = F.sum(F.length(F.col("body").cast("binary")))
-    frontier, seen, urls, used_documents, used_bytes = list(dict.fromkeys(roots))[:max_queue], set(), {}, 0, 0
+    frontier, seen, urls, used_documents = list(dict.fromkeys(roots))[:max_queue], set(), {}, 0
     for _ in range(max_depth + 1):
         frontier = [u for u in frontier if u not in seen][: max_documents - used_documents]
         if not frontier or len(urls) >= max_urls:
@@ -62,10 +61,10 @@ def discover(roots: list[str], documents: DataFrame, max_urls: int = 10_000, max
         seen.update(frontier)
         used_documents += len(frontier)
         at = F.broadcast(spark.createDataFrame(list(enumerate(frontier)), "turn int, url string"))  # at most max_queue rows
-        used_bytes += documents.join(at, "url", "left_semi").agg(size).first()[0] or 0
-        if used_bytes > max_bytes:
-            break
-        rows = parsed.join(at, "url").where("loc is not null")
+        level = documents.join(at, "url", "left_semi")
+        if allowed is not None:
+            level = level.where(allowed(F.col("url")))
+        rows = parse_sitemaps(level, max_bytes=max_bytes).join(at, "url").where("loc is not null")
         if allowed is not None:
             rows = rows.where(allowed(F.col("loc")))
         first = Window.partitionBy("loc", "root").orderBy("turn", "place")

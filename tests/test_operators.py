@@ -102,6 +102,8 @@ def test_sitemaps(spark):
     assert discover(["https://e.test/i.xml"], docs) == ["https://e.test/a", "https://e.test/b"]
     assert discover(["https://e.test/i.xml"], docs, max_urls=1) == ["https://e.test/a"]
     assert discover(["https://e.test/i.xml"], docs, max_bytes=10) == []
+    big = docs.union(spark.createDataFrame([("https://e.test/big.xml", locs("urlset", "url", *(f"/{i}" for i in range(99))))], "url string, body string"))
+    assert discover(["https://e.test/big.xml", "https://e.test/i.xml"], big, max_bytes=400) == ["https://e.test/a", "https://e.test/b"]
     assert parse_sitemaps(docs).where("error is not null").count() == 1
 
 
@@ -157,7 +159,7 @@ def test_spec_collects_all_issues():
 
 
 def test_run_and_cli(spark, tmp_path, capsys):
-    s = {"name": "r", "start_urls": ["http://s.test/"], "mode": "list", "fields": [take("title", "title")], "validation": {"required_fields": ["title"]}}
+    s = {"name": "r", "start_urls": [f"http://s.test/{i}" for i in range(4)], "mode": "list", "fields": [take("title", "title")], "validation": {"required_fields": ["title"]}}
     p = pages(spark, "<title>a</title>", "<p>no title</p>", "", "<title>a</title>")
     outcome = run_spec(parse_spec(s)[0], p)
     assert outcome.records.count() == 1 and {r.category for r in outcome.failures.collect()} == {"validation_error", "parse_error"}
