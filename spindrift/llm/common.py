@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-import tempfile
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import materialise  # noqa: F401: the operators take it from here
+
 WORD = re.compile(r"\w+")
 #: Entries that a worker's word table holds before it is emptied; a bound on memory alone, results don't depend on it.
 CACHE_WORDS = 250_000
@@ -65,19 +66,6 @@ def tune_arrow(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16777216")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's shared folder if spark.checkpoint.dir names one; a temporary one only where it is unset."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoint-"))
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the checkpoint folder, which outlives a lost executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
