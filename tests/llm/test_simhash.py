@@ -51,3 +51,42 @@ def test_crowded_lists_are_split_without_loss(spark):
         edges = simhash.near_edges(reps, len(rows), most_rows=most_rows)
         got = {r.node: r.root for r in simhash.components(edges).collect()}
         assert got == {i: int(r) for i, r in enumerate(want) if r != i}, most_rows
+
+
+def at_distance(rng, rows, bits):
+    """The rows, each with so many random bits flipped."""
+    x = rows.copy()
+    for r in x:
+        for b in rng.permutation(simhash.BITS)[:bits]:
+            r[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    return x
+
+
+def test_no_pair_at_the_largest_distance_is_missed(spark):
+    """Pairs that meet the threshold just so are all found, and those one bit further apart are not."""
+    rng = np.random.default_rng(48)
+    base = rng.integers(0, 1 << 63, (1500, simhash.WORDS64), dtype=np.uint64)
+    x = np.concatenate([base, at_distance(rng, base[:600], simhash.MAX_DISTANCE), at_distance(rng, base[600:900], simhash.MAX_DISTANCE + 1)])
+    rows = [(i, *(int(v) for v in f.view(np.int64))) for i, f in enumerate(x)]
+    reps = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{c} long" for c in simhash.FP))
+    for most_rows in (1_000, 10_000):
+        got = {(r.a, r.b) for r in simhash.near_edges(reps, len(rows), most_rows=most_rows).collect()}
+        assert got == {(1500 + i, i) for i in range(600)}, most_rows
+
+
+@pytest.mark.parametrize("most", [10, 48, 60])
+def test_chunks_miss_no_pair(monkeypatch, most):
+    """By chunks the components are those by brute force, for a list with itself and for two lists."""
+    monkeypatch.setattr(simhash, "INDEX_PAIRS", 0)
+    monkeypatch.setattr(simhash, "BUCKET_PAIRS", 0)
+    rng = np.random.default_rng(most)
+    base = rng.integers(0, 1 << 63, (500, simhash.WORDS64), dtype=np.uint64)
+    x = np.concatenate([base, at_distance(rng, base[:200], most), at_distance(rng, base[:200], most // 2), cluster(rng, 100, 4)])
+    every = np.arange(len(x))
+    assert simhash.chunk_plan(np.ascontiguousarray(x.T), every, every, most)
+    root = every.copy()
+    simhash.Joined(x, most, root).all_pairs(every, every, own=True)
+    assert (root == brute_components(x, most)).all()
+    root = every.copy()
+    simhash.Joined(x, most, root).all_pairs(every[500:], every[:500])
+    assert (root[500:700] == np.arange(200)).all() and (root[700:900] == np.arange(200)).all() and (root[900:] >= 900).all()
