@@ -90,3 +90,15 @@ def test_chunks_miss_no_pair(monkeypatch, most):
     root = every.copy()
     simhash.Joined(x, most, root).all_pairs(every[500:], every[:500])
     assert (root[500:700] == np.arange(200)).all() and (root[700:900] == np.arange(200)).all() and (root[900:] >= 900).all()
+
+
+def test_links_between_neighbours_of_neighbours(spark):
+    """A chain, each text 40 bits from the next and further from all others, is one component, however small the pieces."""
+    bits = np.zeros((7, simhash.BITS), np.uint8)
+    for i in range(7):
+        bits[i, : 40 * i] = 1
+    x = np.packbits(bits, axis=1).view(np.int64)
+    reps = spark.createDataFrame([(i, *map(int, f)) for i, f in enumerate(x)], "doc_id long, " + ", ".join(f"{c} long" for c in simhash.FP))
+    for most_rows in (2, 3, 100):
+        got = {r.node: r.root for r in simhash.components(simhash.near_edges(reps, len(x), most_rows=most_rows)).collect()}
+        assert got == dict.fromkeys(range(1, 7), 0), most_rows
