@@ -67,9 +67,10 @@ def _level(rows: DataFrame, index: DataFrame, spec: Spec, fields: tuple[Field, .
         target = resolve(F.col("__at"), F.col("link"))
         if json_page and spec.append_json_suffix:
             target = json_suffix(target)
-        # Written out before it is filtered: a filter that is pushed below would repeat the resolution at each of its uses.
-        links = materialise(links.withColumn("child_url", target)).where("child_url is not null")
-        links = links.where(policy.reject_reason(F.col("child_url"), F.col("__at")).isNull() & ~F.array_contains("__path", F.col("child_url")))
+        # Checked in the pass that resolves, and written out before it is filtered: a filter that is pushed below would repeat
+        # the resolution at each of its uses, and one above would run at each of the two below.
+        ok = policy.reject_reason(F.col("child_url"), F.col("__at")).isNull() & ~F.array_contains("__path", F.col("child_url"))
+        links = materialise(links.withColumn("child_url", target).withColumn("child_url", F.when(ok, F.col("child_url")))).where("child_url is not null")
         wanted = links.select(F.col("child_url").alias("key")).distinct()
         pages = index.join(wanted, "key", "left_semi")
         children = extract(pages, replace(spec, fields=f.nested_fields), ("key", "final_url"), "body")

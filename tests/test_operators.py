@@ -1,9 +1,11 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from spindrift import cli
+from spindrift.functions import urls
 from spindrift.operators import crawl, metrics, nested, records
 from spindrift.operators.extract import extract
 from spindrift.plans.run import run_spec
@@ -170,3 +172,24 @@ def test_run_and_cli(spark, tmp_path, capsys):
     assert cli.main(["run", str(tmp_path / "s.json"), "--pages", str(tmp_path / "p"), "--output-dir", str(tmp_path / "o"), "--run-id", "one"]) == 4
     assert json.loads((tmp_path / "o/one/manifest.json").read_text())["counts"] == {"pages": 1, "records": 1, "failed": 2}
     assert cli.main(["preview", str(tmp_path / "s.json"), "--pages", str(tmp_path / "p"), "--format", "json"]) == 0
+
+
+@pytest.mark.parametrize("before, after", [("/part/", ""), ("../order/", "#x")])
+def test_plain_links_are_resolved_and_checked_quickly(spark, before, after):
+    n = 100_000
+    at, to = F.lit("http://shop.test/customer/1"), F.concat(F.lit(before), F.col("id").cast("string"), F.lit(after))
+    start = time.perf_counter()
+    links = spark.range(0, n, numPartitions=1).select("id", urls.resolve(at, to).alias("to")).withColumn("why", urls.UrlPolicy().reject_reason(F.col("to"), at))
+    found = links.agg(F.count_if(F.col("to").endswith(F.concat(F.lit("/"), F.col("id").cast("string"))) & F.col("why").isNull())).first()[0]
+    assert found == n and time.perf_counter() - start < 20
+
+
+def test_odd_urls_are_taken_apart(spark):
+    kept = ["http://a.test/", "https://a.test/x?q", "http://a.test:81/"]
+    odd = {"http://a.test/x#f": "http://a.test/x", " HTTP://A.test.:80?q#f\n": "http://a.test/?q", "http://a.test/x?": "http://a.test/x", "http://a.test/x \n": "http://a.test/x", "http://u@a.test/": None, "http://a.test/#f\ng": None, "/x": None}
+    rows = spark.createDataFrame([(u, u) for u in kept] + list(odd.items()), "u string, c string")
+    assert rows.where(~urls.canonicalize(F.col("u")).eqNullSafe(F.col("c"))).count() == 0
+    p = urls.UrlPolicy()
+    why = lambda u, parent="http://a.test/": spark.range(1).select(p.reject_reason(F.lit(u), F.lit(parent))).first()[0]
+    assert [why(u) for u in ("http://a.test/x", "http://b.test/", "http://localhost/", "http://10.0.0.1/", "ftp://a.test/", "x")] == [None, "origin", "private", "private", "scheme", "invalid"]
+    assert why("http://a.test/x", "HTTP://A.test:80/y") is None and why("https://a.test/", "http://a.test/") == "origin"
