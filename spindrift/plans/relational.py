@@ -38,7 +38,7 @@ def nested_fail_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spec(fields=[{**take("parts", "a"), "is_list": True, "attribute": "href", "follow_url": True, "nested_fields": [take("id", "h1")]}], max_nested_urls=100, fail_parent_on_nested_error=True)
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l_partkey")), lambda k: F.concat(F.lit('<a href="/part/'), k.cast("string"), F.lit('">p</a>'))), "").alias("links"))
     url = lambda kind, c: F.concat(F.lit(f"http://shop.test/{kind}/"), c.cast("string"))
-    parents = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", url("order", F.col("o_orderkey")).alias("url"), F.concat(F.lit("<p>"), F.coalesce("links", F.lit(""))).alias("html"))
+    parents = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", url("order", F.col("o_orderkey")).alias("url"), F.concat(F.lit("<p>"), F.coalesce("links", F.lit(""))).alias("html")).repartition("url")  # a small file is one task, where its join is broadcast
     parts = table(spark, sf_dir, "part").where("p_partkey % 10 <> 0").select(url("part", F.col("p_partkey")).alias("url"), F.lit("<h1>Part</h1>").alias("html"))
     rows = nested.follow(nested.extract(parents, s, ("o_orderkey", "url")), nested.page_index(parts), s, policy=UrlPolicy())
     return rows.where("error_category is null").select("o_orderkey")
@@ -55,7 +55,7 @@ def follow_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = lambda kind, c: F.concat(F.lit(f"http://shop.test/{kind}/"), c.cast("string"))
     orders = table(spark, sf_dir, "orders")
     links = orders.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: F.concat(F.lit('<a href="../order/'), k.cast("string"), F.lit('#x">o</a>'))), "").alias("links"))
-    parents = table(spark, sf_dir, "customer").join(links, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", url("customer", F.col("c_custkey")).alias("url"), F.concat(F.lit("<p>"), F.coalesce("links", F.lit(""))).alias("html"))
+    parents = table(spark, sf_dir, "customer").join(links, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", url("customer", F.col("c_custkey")).alias("url"), F.concat(F.lit("<p>"), F.coalesce("links", F.lit(""))).alias("html")).repartition("url")  # a small file is one task, where its join is broadcast
     children = orders.select(url("order", F.col("o_orderkey")).alias("url"), F.concat(F.lit("<h1>Order "), F.col("o_orderkey").cast("string"), F.lit("</h1>")).alias("html"))
     rows = nested.follow(nested.extract(parents, s, ("c_custkey", "url")), nested.page_index(children), s, policy=UrlPolicy())
     return rows.select("c_custkey", F.size("kids").alias("n_children"), F.array_join(F.transform("kids", lambda k: k["id"].cast("string")), ",").alias("children"))
