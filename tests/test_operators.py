@@ -1,6 +1,7 @@
 import json
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +194,13 @@ def test_odd_urls_are_taken_apart(spark):
     why = lambda u, parent="http://a.test/": spark.range(1).select(p.reject_reason(F.lit(u), F.lit(parent))).first()[0]
     assert [why(u) for u in ("http://a.test/x", "http://b.test/", "http://localhost/", "http://10.0.0.1/", "ftp://a.test/", "x")] == [None, "origin", "private", "private", "scheme", "invalid"]
     assert why("http://a.test/x", "HTTP://A.test:80/y") is None and why("https://a.test/", "http://a.test/") == "origin"
+
+
+def test_sitemaps_are_parsed_in_bounded_memory():
+    """The worker hands on the rows of many documents bit by bit, not once a batch."""
+    from spindrift.sources import sitemap
+
+    body = "<urlset>" + "".join(f"<url><loc>/{i}</loc></url>" for i in range(500)) + "</urlset>"
+    batch = pa.RecordBatch.from_pydict({"url": [f"https://e.test/{i}" for i in range(100)], "body": [body] * 99 + [None]})
+    sizes = [b.num_rows for b in sitemap.parsed([batch], 1 << 20)]
+    assert sum(sizes) == 99 * 500 + 1 and max(sizes) <= 4_000
